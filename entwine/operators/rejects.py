@@ -10,12 +10,10 @@ a null line is a rejected row ("null_line"); n_cols null or under 4 rejects the
 
 from __future__ import annotations
 
-import sys
-import unicodedata
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import digits_to_ascii
 from .packed import MARK
 
 # The rules, by the role of a cell.  A cell fails a rule if it doesn't match the pattern.
@@ -37,17 +35,6 @@ COREF_CELL = (
 )
 
 
-def _digits() -> tuple[str, str]:
-    """Every decimal digit of any script and its value, from the character database."""
-    every = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Nd" and not c.isascii()]
-    return "".join(every), "".join(str(unicodedata.decimal(c)) for c in every)
-
-
-def digits_to_ascii(c: Column) -> Column:
-    """A text with the digits of every script as 0-9."""
-    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, *_digits())).otherwise(c)
-
-
 def cells_of(line: Column) -> Column:
     """The cells of a line whose quoting is whole."""
     quoted = F.regexp_extract_all(F.concat(F.lit("\t"), line), F.lit(rf"\t({_FIELD})"), 1)

@@ -86,3 +86,5 @@ FROM (SELECT token_id, m, unnest(range(1, len(m) + 1)) AS i FROM marks)
 )
 def p6_values(spark, d):
     return packed.unpack(table(spark, d, "tokens"), "token_id", "coref", packed.corpus_prefix()).drop("source")
+
+from . import corpus_queries as _corpus  # noqa: E402,F401  (registers its queries)
