@@ -8,7 +8,7 @@ from ..functions import prompts
 from ..functions.text import clamped, digits_to_ascii, fill_masks, last_tokens, mask_count
 from ..operators import baselines, frames, mentions, merge, predict, report, sampling, score
 from ..session import table
-from ..sources import tables
+from ..sources import conll, tables
 from .queries import query
 from .sql import select
 
@@ -321,7 +321,7 @@ _SCORED = ("muc_f", "b3_f", "ceafe_f", "conll_p", "conll_r", "conll_f")
 for _name, _best in (("all_singletons", "many"), ("all_one_cluster", "one"), ("head_match", None)):
 
     @query(f"conll_{_name}", _best and select("SELECT * FROM (" + _CONLL.replace("{best}", _best) + ")", "doc", "golds", "preds", "cell", pred=_name))
-    def conll(spark, d, name=_name):
+    def conll_mean(spark, d, name=_name):
         return _scores(spark, d, name).select("lang", "num_docs", *[F.round(c, 6).alias(c) for c in _SCORED])
 
 
@@ -476,3 +476,52 @@ def pair_examples(spark, d):
 def digit_values(spark, d):
     t = table(spark, d, "tokens").where(F.col("text").rlike(r"^\p{Nd}+$")).select("text").distinct()
     return t.select("text", digits_to_ascii(F.col("text")).alias("value"))
+
+
+_LINES_SQL = r"""
+WITH lines AS (
+  SELECT file_name AS file, line_no, coalesce(raw, '') AS raw FROM raw_conll_lines QUALIFY row_number() OVER (PARTITION BY file_name, line_no ORDER BY line_id) = 1
+), marked AS (
+  SELECT *, CASE WHEN raw LIKE '#begin document%' THEN 1 WHEN raw LIKE '#end document%' THEN 0 END AS marker,
+    CASE WHEN regexp_full_match(raw, '[\s\p{Z}]*') THEN 1 ELSE 0 END AS blank FROM lines
+), placed AS (
+  SELECT *, sum(coalesce(marker, 0)) OVER w AS seq, sum(blank) OVER w AS brk, last_value(marker IGNORE NULLS) OVER w AS open,
+    last_value(CASE WHEN marker = 1 THEN regexp_extract(raw, '^#begin document \((.+?)\)', 1) END IGNORE NULLS) OVER w AS doc_id,
+    string_split(raw, chr(9)) AS c
+  FROM marked WINDOW w AS (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING)
+), rows AS (
+  SELECT *, try_cast(translate(regexp_replace(c[3], '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '०१२३४५६७८९০১২৩৪৫৬৭৮৯௦௧௨௩௪௫௬௭௮௯', '012345678901234567890123456789') AS INTEGER) AS tok_idx
+  FROM placed WHERE marker IS NULL AND open = 1 AND blank = 0 AND len(c) >= 4
+    AND regexp_full_match(c[3], '[\s\p{Z}]*[+-]?\p{Nd}+[\s\p{Z}]*')
+)
+SELECT file, CAST(seq - 1 AS BIGINT) AS doc_seq, doc_id, dense_rank() OVER (PARTITION BY file, seq ORDER BY brk) - 1 AS sent_idx,
+  row_number() OVER (PARTITION BY file, seq, brk ORDER BY line_no) - 1 AS tok_pos, tok_idx, c[4] AS text, CASE WHEN len(c) > 4 THEN c[len(c)] ELSE '-' END AS coref
+FROM rows WHERE tok_idx IS NOT NULL
+"""
+
+
+@query("conll_scan", _LINES_SQL)
+def conll_scan(spark, d):
+    return conll.scan_lines(conll.first_delivery(table(spark, d, "raw_conll_lines")))
+
+
+_WRITTEN = """
+SELECT doc_key, CAST(row_number() OVER (PARTITION BY doc_key ORDER BY s, t) - 1 AS INTEGER) AS line_no, line FROM (
+  SELECT k.doc_key, k.sent_idx AS s, k.tok_pos AS t, concat_ws(chr(9), d.doc_id, '0', CAST(coalesce(k.idx, k.tok_pos) AS VARCHAR), k.text, '_', '_', coalesce(m.cell, '-')) AS line
+  FROM tok k JOIN doc d USING (doc_key) LEFT JOIN (
+    SELECT doc_key, sent_idx, tok_pos, string_agg(mark, '|' ORDER BY start_tok, end_tok, cluster_id, mark) AS cell FROM (
+      SELECT doc_key, sent_idx, start_tok AS tok_pos, start_tok, end_tok, cluster_id, CASE WHEN start_tok = end_tok THEN '(' || cluster_id || ')' ELSE '(' || cluster_id END AS mark FROM keyed
+      UNION ALL
+      SELECT doc_key, sent_idx, end_tok, start_tok, end_tok, cluster_id, cluster_id || ')' FROM keyed WHERE start_tok <> end_tok) GROUP BY ALL
+  ) m ON m.doc_key = k.doc_key AND m.sent_idx = k.sent_idx AND m.tok_pos = k.tok_pos
+  UNION ALL SELECT doc_key, sent_idx, max(tok_pos) + 1, '' FROM tok JOIN doc USING (doc_key) GROUP BY ALL
+  UNION ALL SELECT doc_key, -1, 0, '#begin document (' || doc_id || '); part 0' FROM doc WHERE doc_key IN (SELECT doc_key FROM tok)
+  UNION ALL SELECT doc_key, 2147483647, 0, '#end document' FROM doc WHERE doc_key IN (SELECT doc_key FROM tok))
+"""
+
+
+@query("conll_lines", select(_WRITTEN, "tok", "doc", "keyed"))
+def conll_lines(spark, d):
+    t = _tokens(spark, d)
+    found = mentions.one_cluster_per_key(mentions.mentions(t, tolerant=True))
+    return conll.conll_lines(t, found, _documents(spark, d))
