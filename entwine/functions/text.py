@@ -58,7 +58,8 @@ def clamped(digits: Column, largest: int = 200) -> Column:
     """The number that a decoded text begins with, at most `largest`; 0 if it begins with none."""
     number = F.regexp_extract(digits_to_ascii(digits), r"^[0-9]+", 0)
     # more digits than an INT holds are over the largest anyway
-    return F.when(F.length(number) > 9, F.lit(largest)).otherwise(F.coalesce(F.least(F.nullif(number, F.lit("")).try_cast("int"), F.lit(largest)), F.lit(0)))
+    value = F.when(F.length(number) > 9, F.lit(largest)).otherwise(F.least(number.try_cast("int"), F.lit(largest)))
+    return F.when(F.length(number) > 0, value).otherwise(F.lit(0))
 
 
 def last_tokens(tokens: Column, n: int) -> Column:
