@@ -155,9 +155,10 @@ def conll_lines(tokens: DataFrame, predicted: DataFrame, documents: DataFrame, p
     )
     each = spans.select("doc_key", "sent_idx", order.alias("o"), F.explode(marks).alias("m"))
     cells = each.groupBy("doc_key", "sent_idx", F.col("m.tok_pos").alias("tok_pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "m.mark"))), lambda x: x["mark"]), "|").alias("cell"))
-    named = tokens.join(cells, ["doc_key", "sent_idx", "tok_pos"], "left").join(documents.select("doc_key", "doc_id"), "doc_key")
     index = F.coalesce("idx", "tok_pos") if "idx" in tokens.columns else F.col("tok_pos")
-    row = F.concat_ws("\t", "doc_id", F.lit(str(part)), index.cast("string"), "text", F.lit("_"), F.lit("_"), F.coalesce("cell", F.lit("-")))
+    words = tokens.select("doc_key", "sent_idx", "tok_pos", "text", index.alias("index"))
+    named = words.join(cells, ["doc_key", "sent_idx", "tok_pos"], "left").join(documents.select("doc_key", "doc_id"), "doc_key")
+    row = F.concat_ws("\t", "doc_id", F.lit(str(part)), F.col("index").cast("string"), "text", F.lit("_"), F.lit("_"), F.coalesce("cell", F.lit("-")))
     rows = named.select("doc_key", "sent_idx", "tok_pos", row.alias("line"))
     blank = rows.groupBy("doc_key", "sent_idx").agg(F.max("tok_pos").alias("tok_pos")).select("doc_key", "sent_idx", (F.col("tok_pos") + 1).alias("tok_pos"), F.lit("").alias("line"))
     docs = documents.select("doc_key", "doc_id").join(tokens.select("doc_key").distinct(), "doc_key", "left_semi")

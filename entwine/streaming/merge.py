@@ -2,13 +2,15 @@
 
 State is kept for each document: its clusters, the number of the next pair, and pairs that came early.  A pair is
 merged when all before it have been, so the result doesn't depend on the order of arrival; what a pair
-decides is given out once.  Documents that no pair comes for within the timeout are given up with their state.
+decides is given out once.  With a timeout, documents for which no pair comes in time are given up with their state
+(the stream then runs batches without data too); without one their state is kept.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +22,9 @@ from ..sources.conll import read_lines, scan_lines, with_doc_key
 
 OUT = "doc_key bigint, pair_idx int, sent_idx int, start_tok int, end_tok int, cluster_id bigint"
 STATE = "state string"
-TIMEOUT_MS = 24 * 3600 * 1000
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _fold(timeout_ms: int | None, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -46,17 +47,18 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         merge.clusters = {p: c for p, c in merge.clusters.items() if p in last}
         held["next"] = k + 1
     state.update((json.dumps({"next": held["next"], "new": merge.following, "clusters": list(merge.clusters.items()), "early": early}),))
-    state.setTimeoutDuration(TIMEOUT_MS)
+    if timeout_ms:
+        state.setTimeoutDuration(timeout_ms)
     yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
 
-def merge_stream(results: DataFrame) -> DataFrame:
+def merge_stream(results: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """Clusters of a stream of results (doc_key, pair_idx from 0 without gaps, before_mentions, after_mentions)."""
     names = results.schema["before_mentions"].dataType.elementType.names
     pick = lambda m: F.coalesce(*[m[n] for n in ("predicted_local_no", "local_no") if n in names], F.lit(0))
     side = lambda c: F.coalesce(F.transform(c, lambda m: F.array(m["sent_idx"], m["start_tok"], m["end_tok"], pick(m))), F.array().cast("array<array<int>>"))
     slim = results.select(F.col("doc_key").cast("bigint").alias("doc_key"), F.col("pair_idx").cast("int").alias("pair_idx"), F.to_json(F.array(side("before_mentions"), side("after_mentions"))).alias("pair"))
-    return slim.groupBy("doc_key").applyInPandasWithState(_fold, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return slim.groupBy("doc_key").applyInPandasWithState(partial(_fold, timeout_ms), OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def ingest_files(spark: SparkSession, folder: str, out: str, checkpoint: str, recursive: bool = True):

@@ -113,7 +113,7 @@ def test_command_line(spark, root, capsys):
 def test_records_keep_letters_and_nulls(spark, tmp_path):
     e = spark.createDataFrame([("d", "hi", None, "पास", "x", "[]", "[]", "[1]", "[2]")], "doc_id string, language string, instruction string, masked_input string, output string, before_mentions string, after_mentions string, before_sent_indices string, after_sent_indices string")
     records.write_examples(e, str(tmp_path / "e"))
-    text = next((tmp_path / "e").glob("part-*")).read_text(encoding="utf-8")
+    text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "e").glob("part-*"))
     assert "पास" in text and json.loads(text)["before_mentions"] == "[]"
     (tmp_path / "e" / "part-9.json").write_text("\n{broken\n\n")
     r = records.read_examples(spark, str(tmp_path / "e")).collect()
@@ -149,14 +149,13 @@ def test_streaming_merge(spark, tmp_path):
     for i, part in enumerate((pairs[2:4] + pairs[4:5], pairs[0:2] + pairs[6:8], pairs[5:6])):
         spark.createDataFrame(part, RESULT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(RESULT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = streaming.merge_stream(stream).writeStream.format("memory").queryName("merged").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = streaming.merge_stream(stream).writeStream.format("memory").queryName("merged").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     got = {(r["doc_key"], r["sent_idx"]): r["cluster_id"] for r in spark.table("merged").orderBy("pair_idx").collect()}
     assert got == want
 
 
 def test_streaming_ingest(spark, root):
     q = streaming.ingest_files(spark, f"file://{root}/litbank_train", f"{root}/tokens", f"{root}/check")
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
     assert {r["doc_id"] for r in spark.read.parquet(f"{root}/tokens").collect()} == {"l_hin_Deva.conll", "l_ben_Beng.conll"}
