@@ -152,8 +152,9 @@ def resolve(text: str | None) -> tuple[str | None, int]:
         issues |= INVISIBLE * (seen != form)
         form = seen
     if any(map(str.isspace, form)):
-        issues |= BLANK * (form[:1].isspace() or form[-1:].isspace())
-        form = re.sub(r"\s", " ", form).strip(" ")
+        spaced = re.sub(r"\s", " ", form).strip(" ")
+        issues |= BLANK * (spaced != form)
+        form = spaced
     composed = unicodedata.normalize("NFC", form)
     issues |= UNCOMPOSED * (composed != form)
     spelled = _COLON.sub(lambda m: "ः" if m.string[m.start() - 1] < "ঀ" else "ঃ", composed)
