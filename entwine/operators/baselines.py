@@ -6,24 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .score import KEY, corpus_scores
+from .score import KEY, cell_scores, counted_cells
 
 NAMES = ("all_singletons", "all_one_cluster", "head_match")
 
 
+def with_predictions(found: DataFrame) -> DataFrame:
+    """found (with its head) and the cluster id that each baseline gives, named by the baseline."""
+    place = F.struct("sent_idx", "start_tok", "mention_ord")
+    first = found.withColumn("__first", F.min(place).over(W.partitionBy("doc_key", "head")))
+    # clusters of a head are numbered by its first mention in reading order
+    number = F.dense_rank().over(W.partitionBy("doc_key").orderBy("__first")) - 1
+    return first.withColumn("head_match", number.cast("bigint")).drop("__first").withColumn("all_singletons", F.col("mention_ord").cast("bigint")).withColumn("all_one_cluster", F.lit(0).cast("bigint"))
+
+
+def _clusters(found: DataFrame, name: str) -> DataFrame:
+    return with_predictions(found).select(*KEY, F.col(name).alias("cluster_id"))
+
+
 def all_singletons(found: DataFrame) -> DataFrame:
-    return found.select(*KEY, F.col("mention_ord").cast("bigint").alias("cluster_id"))
+    return _clusters(found, "all_singletons")
 
 
 def all_one_cluster(found: DataFrame) -> DataFrame:
-    return found.select(*KEY, F.lit(0).cast("bigint").alias("cluster_id"))
+    return _clusters(found, "all_one_cluster")
 
 
 def head_match(found: DataFrame) -> DataFrame:
-    """found has a head; clusters are numbered by the first mention of their head in reading order."""
-    place = F.struct("sent_idx", "start_tok", "mention_ord")
-    first = found.withColumn("__first", F.min(place).over(W.partitionBy("doc_key", "head")))
-    return first.select(*KEY, (F.dense_rank().over(W.partitionBy("doc_key").orderBy("__first")) - 1).cast("bigint").alias("cluster_id"))
+    return _clusters(found, "head_match")
+
+
+def cells(found: DataFrame, name: str) -> DataFrame:
+    """Cells of gold against a baseline: both hold the same positions, so nothing has to be matched."""
+    return counted_cells(with_predictions(found).select("doc_key", F.col("cluster_id").alias("gold_id"), F.col(name).alias("pred_id")))
 
 
 def scorable(found: DataFrame, least: int = 2) -> DataFrame:
@@ -37,11 +52,7 @@ def evaluate(found: DataFrame, documents: DataFrame, least: int = 2) -> DataFram
     found: one row for each position, with its head.  All three are scored in one pass, with the
     baseline as a part of the document's key.
     """
-    kept = scorable(found, least)
-    made = {"all_singletons": all_singletons(kept), "all_one_cluster": all_one_cluster(kept), "head_match": head_match(kept)}
-    pred = None
-    for name, clusters in made.items():
-        named = clusters.withColumn("baseline", F.lit(name))
-        pred = named if pred is None else pred.unionByName(named)
-    gold = kept.select(*KEY, "cluster_id", F.explode(F.array(*map(F.lit, made))).alias("baseline"))
-    return corpus_scores(gold, pred, documents, only_scored=True, run="baseline")
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("baseline"), F.col(n).alias("pred_id")) for n in NAMES]))
+    made = with_predictions(scorable(found, least)).select("doc_key", F.col("cluster_id").alias("gold_id"), named.alias("b"))
+    cell = counted_cells(made.select("b.baseline", "doc_key", "gold_id", "b.pred_id"), "baseline")
+    return cell_scores(cell, documents, only_scored=True, run="baseline")

@@ -37,17 +37,18 @@ def spans(events: DataFrame) -> DataFrame:
 
     doc_key, mention_ord, sent_idx, start_tok, end_sent, end_tok, cluster_id, is_zero.
     """
-    cluster = W.partitionBy("doc_key", "cluster_id").orderBy(*EVENT)
-    before = F.lag("kind").over(cluster)
-    state = events.where("kind <> 'singleton'").withColumn("__before", before)
-    effective = state.where(F.when(F.col("kind") == "open", F.col("__before").isNull() | (F.col("__before") == "close")).otherwise(F.col("__before") == "open"))
-    # of the events that count, opens and closes alternate: the one after an open closes it
-    paired = effective.withColumn("__end", F.when(F.lead("kind").over(cluster) == "close", F.struct(*[F.lead(c).over(cluster).alias(c) for c in EVENT]))).where("kind = 'open'")
+    # singletons stand in windows of their own, so that opens and closes see only each other
+    cluster = W.partitionBy("doc_key", "cluster_id", "__single").orderBy(*EVENT)
+    kind, before = F.col("kind"), F.col("__before")
+    state = events.withColumn("__single", kind == "singleton").withColumn("__before", F.lag("kind").over(cluster))
+    effective = state.where(F.when(F.col("__single"), True).when(kind == "open", before.isNull() | (before == "close")).otherwise(before == "open"))
+    # of the opens and closes that count, the one after an open closes it
     here = F.struct(*EVENT)
-    closed = paired.select("doc_key", "cluster_id", F.col("__end").isNull().alias("__left"), here.alias("__start"), F.coalesce("__end", here).alias("__end"))
-    single = events.where("kind = 'singleton'").select("doc_key", "cluster_id", F.lit(False).alias("__left"), here.alias("__start"), here.alias("__end"))
+    following = F.when(F.lead("kind").over(cluster) == "close", F.struct(*[F.lead(c).over(cluster).alias(c) for c in EVENT]))
+    begun = effective.withColumn("__end", F.when(F.col("__single"), here).otherwise(following)).where("kind <> 'close'")
+    every = begun.select("doc_key", "cluster_id", F.col("__end").isNull().alias("__left"), here.alias("__start"), F.coalesce("__end", here).alias("__end"))
     order = W.partitionBy("doc_key").orderBy("__left", "__end", "cluster_id")
-    return closed.unionByName(single).select(
+    return every.select(
         "doc_key", (F.row_number().over(order) - 1).alias("mention_ord"), F.col("__start.sent_idx").alias("sent_idx"), F.col("__start.tok_pos").alias("start_tok"),
         F.col("__end.sent_idx").alias("end_sent"), F.col("__end.tok_pos").alias("end_tok"), "cluster_id", F.lit(False).alias("is_zero"),
     )

@@ -31,6 +31,12 @@ def cells(gold: DataFrame, pred: DataFrame, run: str | None = None) -> DataFrame
     g = gold.select(*own, *KEY, F.col("cluster_id").cast("bigint").alias("gold_id"), none.alias("pred_id"))
     p = pred.select(*own, *KEY, none.alias("gold_id"), F.col("cluster_id").cast("bigint").alias("pred_id"))
     matched = g.unionByName(p).repartition("doc_key").groupBy(*own, *KEY).agg(F.max("gold_id").alias("gold_id"), F.max("pred_id").alias("pred_id"))
+    return counted_cells(matched, run)
+
+
+def counted_cells(matched: DataFrame, run: str | None = None) -> DataFrame:
+    """Cells of positions that have their gold_id and pred_id already, as those of a rule over gold positions."""
+    own = [run] if run else []
     n = matched.groupBy(*own, "doc_key", "gold_id", "pred_id").agg(F.count(F.lit(1)).alias("n"))
     size = lambda c: F.when(F.col(c).isNotNull(), F.sum("n").over(W.partitionBy(*own, "doc_key", c)))
     return n.withColumn("gold_size", size("gold_id")).withColumn("pred_size", size("pred_id"))
@@ -109,13 +115,18 @@ def document_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def corpus_scores(gold: DataFrame, pred: DataFrame, documents: DataFrame, group: str = "lang", only_scored: bool = False, run: str | None = None) -> DataFrame:
-    """By language, and overall where there are several: sums and percentages.
+    """By language, and overall where there are several: sums and percentages (see cell_scores)."""
+    return cell_scores(cells(gold, pred, run), documents, group, only_scored, run)
+
+
+def cell_scores(cell: DataFrame, documents: DataFrame, group: str = "lang", only_scored: bool = False, run: str | None = None) -> DataFrame:
+    """Sums and percentages of cells, by group and overall.
 
     Documents without any cluster count in num_docs, unless only_scored; documents that the table
-    lacks are in the group `all`.  run: a column of gold and pred by which scores are kept apart.
+    lacks are in the group `all`.  run: a column of the cells by which scores are kept apart.
     """
     own = [run] if run else []
-    sums = document_sums(cells(gold, pred, run), run)
+    sums = document_sums(cell, run)
     every = documents.select("doc_key", group).join(sums, "doc_key", "right" if only_scored or run else "full")
     every = every.withColumn(group, F.coalesce(group, F.lit("all")))
     total = every.rollup(*own, group)

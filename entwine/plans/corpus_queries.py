@@ -249,7 +249,7 @@ for _name, _f in _BASE.items():
 @query("overlap_cells", select("SELECT doc_key, gold_id, n, gold_size, pred_size FROM cell", "cell", pred="head_match"))
 def overlap_cells(spark, d):
     gold, _ = _scorable(spark, d)
-    return score.cells(gold, baselines.head_match(gold)).select("doc_key", "gold_id", "n", "gold_size", "pred_size")
+    return baselines.cells(gold, "head_match").select("doc_key", "gold_id", "n", "gold_size", "pred_size")
 
 
 _MUC = """
@@ -267,7 +267,7 @@ FROM cell JOIN doc USING (doc_key) GROUP BY ROLLUP (lang)
 
 def _scores(spark, d, name):
     gold, docs = _scorable(spark, d)
-    return score.corpus_scores(gold, _BASE[name](gold), docs, only_scored=True)
+    return score.cell_scores(baselines.cells(gold, name), docs, only_scored=True)
 
 
 for _name in _BASE:
@@ -351,7 +351,7 @@ def document_scores(spark, d):
 )
 def b3_std_head_match(spark, d):
     gold, _ = _scorable(spark, d)
-    s = score.b3_std(score.cells(gold, baselines.head_match(gold)))
+    s = score.b3_std(baselines.cells(gold, "head_match"))
     return s.select("doc_key", F.round("p_num", 6).alias("p_num"), "p_den", F.round("r_num", 6).alias("r_num"), "r_den")
 
 
@@ -397,7 +397,7 @@ GROUP BY ALL""",
 )
 def error_analysis(spark, d):
     gold, docs = _scorable(spark, d)
-    return report.error_analysis(score.cells(gold, baselines.head_match(gold)), docs)
+    return report.error_analysis(baselines.cells(gold, "head_match"), docs)
 
 
 @query("ablation_pivot")
