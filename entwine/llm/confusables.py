@@ -67,6 +67,8 @@ _TO = {
     for script, column in _COLUMNS.items()
 }
 _WIDE = re.compile("[\uff01-\uffee]")
+#: Ligatures and the letters of mathematical alphabets, which only look like the letters they stand for.
+_STYLED = re.compile("[\ufb00-\ufb06\U0001d400-\U0001d7cb]")
 _VOWELS = re.compile("|".join(map(re.escape, VOWEL_SPELLINGS)))
 #: A colon that stands where only a visarga can: after a letter or sign of a script that has one.
 _COLON = re.compile("(?<=[ऄ-ह़-ौंक़-ॡ])(?:[:꞉ː∶])|(?<=[অ-হ়-ৌংড়-ৡ])(?:[:꞉ː∶])")
@@ -155,6 +157,8 @@ def resolve(text: str | None) -> tuple[str | None, int]:
         spaced = re.sub(r"\s", " ", form).strip(" ")
         issues |= BLANK * (spaced != form)
         form = spaced
+    if _STYLED.search(form):
+        form, issues = _STYLED.sub(lambda m: unicodedata.normalize("NFKC", m[0]), form), issues | SPELLING
     composed = unicodedata.normalize("NFC", form)
     issues |= UNCOMPOSED * (composed != form)
     spelled = _COLON.sub(lambda m: "ः" if m.string[m.start() - 1] < "ঀ" else "ঃ", composed)

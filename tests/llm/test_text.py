@@ -14,7 +14,7 @@ from entwine.llm import budget, confusables, encode, repetition
 FORMS = [
     ("Ｈｏｕｓｅ", "House"), ("１２３", "123"), ("wén", "wén"), ("ज़ूर", "ज़ूर"), ("কো", "কো"), ("லொ", "லொ"), ("का​", "का"), ("f​o", "fo"), ("फि\xadक्ष", "फिक्ष"),
     ("\xa0का　", "का"), ("अाम", "आम"), ("দু:খ", "দুঃখ"), ("प्रात:", "प्रातः"), ("hеavy", "heavy"), ("Карoвеха", "Каровеха"), ("sοme", "some"), ("‌।", "।"), ("शाम﻿\xa0", "शाम"),
-    ("क‍ष", "कष"), ("क्‍‍ष", "क्‍ष"), ("a　b", "a b"), ("​", ""), (" Ситраван", "Ситраван"), ("lоѕt", "lost"),
+    ("क‍ष", "कष"), ("क्‍‍ष", "क्‍ष"), ("a　b", "a b"), ("​", ""), (" Ситраван", "Ситраван"), ("lоѕt", "lost"), ("ﬁsh", "fish"), ("𝐇ouse", "House"),
 ]
 KEPT = ["House", "आम", "Каровеха", "Νικορέλα", "ñandu", "naïve", "१२३", "௧", "क्‍ष", "ক্‌ভ", "👩‍🌾", "👨‍👩‍👧", "❤️", "", "।", ":", "10:30", "a:b", "東京タワー", "x" * 50_000, "का" * 20_000]
 
