@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.text import MID
+from .mentions import beside_sentences
 
 BUDGET = 256
 
@@ -39,19 +39,27 @@ def frame_starts(sizes: Column, budget: Column) -> Column:
     return F.aggregate(F.transform(sizes, lambda n, i: F.struct(n.alias("n"), i.alias("i"))), zero, step, lambda a: a["starts"])
 
 
-def pack(sentences: DataFrame, budget: int = BUDGET, halve: bool = True) -> DataFrame:
-    """doc_key, frame_idx, sent_indices, n_tokens, budget, n_frames of each frame."""
-    docs = sentences.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "n_tokens"))).alias("s"))
+def _with_starts(docs: DataFrame, budget: int, halve: bool = True) -> DataFrame:
+    """docs (doc_key, s: sentences in order with n_tokens) with the budget used and the starts of the frames."""
     sizes = F.col("s.n_tokens")
     total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, n: a + n)
     series = F.array(*[F.lit(b) for b in budgets(budget)])
     used = F.coalesce(F.try_element_at(F.filter(series, lambda b: b < F.col("total")), F.lit(1)), F.lit(1)) if halve else F.lit(budget)
     docs = docs.withColumn("total", total).withColumn("budget", F.when(F.size("s") < 2, F.lit(budget)).otherwise(used).cast("int"))
-    docs = docs.withColumn("starts", F.when(F.size("s") < 2, F.array(F.lit(0))).otherwise(frame_starts(sizes, F.col("budget"))))
-    bounds = docs.select("doc_key", "s", "budget", F.size("starts").alias("n_frames"), F.posexplode("starts").alias("frame_idx", "first"), "starts")
-    length = F.coalesce(F.get("starts", F.col("frame_idx") + 1), F.size("s")) - F.col("first")
-    inside = bounds.withColumn("f", F.slice("s", F.col("first") + 1, length))
-    return inside.select("doc_key", "frame_idx", F.col("f.sent_idx").alias("sent_indices"), F.aggregate("f.n_tokens", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n_tokens"), "budget", "n_frames")
+    return docs.withColumn("starts", F.when(F.size("s") < 2, F.array(F.lit(0))).otherwise(frame_starts(sizes, F.col("budget"))))
+
+
+def _frame(i: Column) -> Column:
+    """The sentences of the i-th frame."""
+    first = F.get("starts", i)
+    return F.slice("s", first + 1, F.coalesce(F.get("starts", i + 1), F.size("s")) - first)
+
+
+def pack(sentences: DataFrame, budget: int = BUDGET, halve: bool = True) -> DataFrame:
+    """doc_key, frame_idx, sent_indices, n_tokens, budget, n_frames of each frame."""
+    docs = sentences.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "n_tokens"))).alias("s"))
+    each = _with_starts(docs, budget, halve).select("doc_key", "s", "budget", "starts", F.posexplode("starts").alias("frame_idx", "first")).withColumn("f", _frame(F.col("frame_idx")))
+    return each.select("doc_key", "frame_idx", F.col("f.sent_idx").alias("sent_indices"), F.aggregate("f.n_tokens", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n_tokens"), "budget", F.size("starts").alias("n_frames"))
 
 
 def outermost(found: Column, n_tokens: Column) -> Column:
@@ -78,10 +86,8 @@ def _texts(words: Column, a: Column, b: Column) -> Column:
 
 def selected(sentences: DataFrame, found: DataFrame) -> DataFrame:
     """Each sentence with its words and the mentions that are rendered in it, chosen once for both of its pairs."""
-    by = found.groupBy("doc_key", "sent_idx").agg(F.collect_list(F.struct("start_tok", "end_tok", "mention_ord", "cluster_id", "is_zero")).alias("found"))
-    joined = sentences.join(by, ["doc_key", "sent_idx"], "left")
-    none = F.array().cast("array<struct<s:int,l:int,o:int,e:int,c:bigint,z:boolean>>")
-    return joined.select("doc_key", "sent_idx", "words", "n_tokens", F.when(F.col("found").isNull(), none).otherwise(outermost(F.col("found"), F.col("n_tokens"))).alias("taken"))
+    rows = beside_sentences(sentences, found.select("doc_key", "sent_idx", "start_tok", "end_tok", "mention_ord", "cluster_id", "is_zero"))
+    return rows.select("doc_key", "sent_idx", "words", "n_tokens", outermost(F.col("found"), F.col("n_tokens")).alias("taken"))
 
 
 def _rendered(sentence: Column, label) -> Column:
@@ -99,27 +105,16 @@ def _rendered(sentence: Column, label) -> Column:
     return F.aggregate(taken, zero, step, lambda a: F.array_join(F.concat(a["out"], _texts(words, a["at"], F.size(words))), " "))
 
 
-def frame_contents(sentences: DataFrame, found: DataFrame, frames: DataFrame) -> DataFrame:
-    """doc_key, frame_idx, n_frames, content ARRAY<STRUCT<sent_idx, words, taken>> in order."""
-    rows = selected(sentences, found)
-    of = frames.select("doc_key", "frame_idx", "n_frames", F.explode("sent_indices").alias("sent_idx"))
-    content = F.array_sort(F.collect_list(F.struct("sent_idx", "words", "taken")))
-    return of.join(rows, ["doc_key", "sent_idx"]).groupBy("doc_key", "frame_idx", "n_frames").agg(content.alias("content"))
-
-
-_MENTION = ("sent_idx", "start_tok", "end_tok", "cluster_id", "local_no", "is_zero")
-
-
 def pairs(sentences: DataFrame, found: DataFrame, budget: int = BUDGET, skip_empty: bool = True, least_mentions: int = 1) -> DataFrame:
     """Consecutive frame pairs of each document as masked input and expected output.
 
     Local numbers count the clusters by their first mention in the pair, before frame first.  With
     skip_empty pairs of fewer than least_mentions mentions are left out.
     """
-    frames = pack(sentences, budget)
-    content = frame_contents(sentences, found, frames)
-    nxt = F.lead("content").over(W.partitionBy("doc_key").orderBy("frame_idx"))
-    pair = content.withColumn("after", nxt).where("after is not null").select("doc_key", F.col("frame_idx").alias("pair_idx"), F.col("content").alias("before"), "after")
+    rows = selected(sentences, found).groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "words", "taken", "n_tokens"))).alias("s"))
+    docs = _with_starts(rows, budget).where(F.size("starts") > 1)
+    each = docs.select("doc_key", "s", "starts", F.explode(F.sequence(F.lit(0), F.size("starts") - 2)).alias("pair_idx"))
+    pair = each.select("doc_key", "pair_idx", _frame(F.col("pair_idx")).alias("before"), _frame(F.col("pair_idx") + 1).alias("after"))
 
     def flat(side):
         return F.flatten(F.transform(side, lambda s: F.transform(s["taken"], lambda m: F.struct(s["sent_idx"].alias("sent_idx"), m["s"].alias("start_tok"), m["e"].alias("end_tok"), m["c"].alias("cluster_id"), m["z"].alias("is_zero")))))

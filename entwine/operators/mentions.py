@@ -83,10 +83,26 @@ def duplicate_keys(found: DataFrame) -> DataFrame:
     )
 
 
+def beside_sentences(sentences: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_key, sent_idx, words, n_tokens and found: the mentions of each sentence as an array without order.
+
+    A union that is grouped, not a join: where both sides are partitioned by document already it needs
+    no shuffle.  Mentions of a sentence that doesn't exist are left out.
+    """
+    kept = [c for c in found.columns if c not in ("doc_key", "sent_idx")]
+    m = F.struct(*kept)
+    left = sentences.select("doc_key", "sent_idx", "words", "n_tokens", F.lit(None).cast(found.select(m.alias("m")).schema["m"].dataType).alias("m"))
+    right = found.select("doc_key", "sent_idx", F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("int").alias("n_tokens"), m.alias("m"))
+    both = left.unionByName(right).groupBy("doc_key", "sent_idx")
+    return both.agg(F.first("words", ignorenulls=True).alias("words"), F.max("n_tokens").alias("n_tokens"), F.collect_list("m").alias("found")).where("n_tokens is not null")
+
+
 def with_heads(found: DataFrame, sentences: DataFrame) -> DataFrame:
     """Mentions with the head word of their span."""
-    joined = found.join(sentences.select("doc_key", "sent_idx", "words"), ["doc_key", "sent_idx"])
-    return joined.withColumn("head", head_word(F.col("words"), F.col("start_tok"), F.col("end_tok"))).drop("words")
+    kept = [c for c in found.columns if c != "head"]
+    rows = beside_sentences(sentences, found.select(*kept)).select("doc_key", "sent_idx", "words", F.explode("found").alias("m"))
+    named = rows.select("words", *[F.col(c) if c in ("doc_key", "sent_idx") else F.col(f"m.{c}").alias(c) for c in kept])
+    return named.withColumn("head", head_word(F.col("words"), F.col("start_tok"), F.col("end_tok"))).drop("words")
 
 
 def clusters(found: DataFrame) -> DataFrame:
