@@ -341,7 +341,7 @@ def scores_merged_gold(spark, d):
 @query("document_scores")
 def document_scores(spark, d):
     gold, _ = _scorable(spark, d)
-    s = score.document_scores(gold, baselines.head_match(gold))
+    s = score.ratios(score.document_sums(baselines.cells(gold, "head_match")))
     return s.select("doc_key", *[F.round(c, 6).alias(c) for c in score.SCORES])
 
 

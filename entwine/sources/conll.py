@@ -156,17 +156,28 @@ def conll_lines(tokens: DataFrame, predicted: DataFrame, documents: DataFrame, p
     each = spans.select("doc_key", "sent_idx", order.alias("o"), F.explode(marks).alias("m"))
     cells = each.groupBy("doc_key", "sent_idx", F.col("m.tok_pos").alias("tok_pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "m.mark"))), lambda x: x["mark"]), "|").alias("cell"))
     index = F.coalesce("idx", "tok_pos") if "idx" in tokens.columns else F.col("tok_pos")
-    words = tokens.select("doc_key", "sent_idx", "tok_pos", "text", index.alias("index"))
-    named = words.join(cells, ["doc_key", "sent_idx", "tok_pos"], "left").join(documents.select("doc_key", "doc_id"), "doc_key")
-    row = F.concat_ws("\t", "doc_id", F.lit(str(part)), F.col("index").cast("string"), "text", F.lit("_"), F.lit("_"), F.coalesce("cell", F.lit("-")))
-    rows = named.select("doc_key", "sent_idx", "tok_pos", row.alias("line"))
-    blank = rows.groupBy("doc_key", "sent_idx").agg(F.max("tok_pos").alias("tok_pos")).select("doc_key", "sent_idx", (F.col("tok_pos") + 1).alias("tok_pos"), F.lit("").alias("line"))
-    docs = documents.select("doc_key", "doc_id").join(tokens.select("doc_key").distinct(), "doc_key", "left_semi")
-    first = docs.select("doc_key", F.lit(-1).alias("sent_idx"), F.lit(0).alias("tok_pos"), F.concat(F.lit("#begin document ("), "doc_id", F.lit(f"); part {part}")).alias("line"))
-    last = docs.select("doc_key", F.lit(2**31 - 1).alias("sent_idx"), F.lit(0).alias("tok_pos"), F.lit("#end document").alias("line"))
-    every = rows.unionByName(blank).unionByName(first).unionByName(last)
-    nth = F.row_number().over(W.partitionBy("doc_key").orderBy("sent_idx", "tok_pos")) - 1
-    return every.select("doc_key", nth.alias("line_no"), "line")
+    token = F.struct("tok_pos", index.cast("string").alias("index"), "text")
+    span = F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("start_tok", "end_tok", "cluster_id")])
+    none = "struct<tok_pos:int,index:string,text:string>", "struct<start_tok:bigint,end_tok:bigint,cluster_id:bigint>"
+    t = tokens.select("doc_key", "sent_idx", token.cast(none[0]).alias("t"), F.lit(None).cast(none[1]).alias("m"))
+    p = predicted.select("doc_key", "sent_idx", F.lit(None).cast(none[0]).alias("t"), span.alias("m"))
+    # a union that is grouped: partitioned by document on both sides, it needs no shuffle
+    sentence = t.unionByName(p).groupBy("doc_key", "sent_idx").agg(F.array_sort(F.collect_list("t")).alias("ts"), F.array_sort(F.collect_list("m")).alias("ms")).where(F.size("ts") > 0)
+    known = F.filter("ms", lambda m: F.array_contains("ts.tok_pos", m["start_tok"].cast("int")) & F.array_contains("ts.tok_pos", m["end_tok"].cast("int")))
+
+    def cell(x):
+        n = lambda m: m["cluster_id"].cast("string")
+        begins, ends = lambda m: m["start_tok"] == x["tok_pos"], lambda m: m["end_tok"] == x["tok_pos"]
+        mark = lambda m: F.when(begins(m) & ends(m), F.concat(F.lit("("), n(m), F.lit(")"))).when(begins(m), F.concat(F.lit("("), n(m))).when(ends(m), F.concat(n(m), F.lit(")")))
+        marks = F.array_compact(F.transform("known", mark))
+        return F.when(F.size(marks) > 0, F.array_join(marks, "|")).otherwise("-")
+
+    row = F.transform("ts", lambda x: F.concat_ws("\t", x["index"], x["text"], F.lit("_"), F.lit("_"), cell(x)))
+    rows = sentence.withColumn("known", known).select("doc_key", "sent_idx", F.concat(row, F.array(F.lit(None).cast("string"))).alias("rows"))
+    docs = rows.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "rows"))).alias("s")).join(documents.select("doc_key", "doc_id"), "doc_key")
+    body = F.transform(F.flatten("s.rows"), lambda r: F.when(r.isNull(), "").otherwise(F.concat("doc_id", F.lit(f"\t{part}\t"), r)))
+    lines = F.concat(F.array(F.concat(F.lit("#begin document ("), "doc_id", F.lit(f"); part {part}"))), body, F.array(F.lit("#end document")))
+    return docs.select("doc_key", F.posexplode(lines).alias("line_no", "line"))
 
 
 def write_conll(lines: DataFrame, documents: DataFrame, path: str) -> None:
