@@ -47,18 +47,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes when this process ends, where the process can reach it."""
+    path = f"{shared_dir(spark)}/entwine/{name}-{uuid.uuid4().hex}"
+    if path.startswith(("/", "file:")):
+        atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there and any executor may be lost.
 
     The table lives as long as its reader may need it, that is until the process ends; a cluster
     whose folder outlives the process clears it by age.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/entwine/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    if path.startswith(("/", "file:")):
-        atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def package_on_path() -> str:
