@@ -7,38 +7,43 @@ from pyspark.sql import functions as F
 
 # ---- fixed values: texts and templates that a model was or will be trained with ---------------------
 
-_ZERO_NOTE = (
-    "Where you see </z>@ there is a zero mention, which is normally not written but you also need to link them with other mentions."
-)
-_FILL = "If two mentions represent the same entity write the same number instead of MASK after closing mention tag </m>."
-_KEEP = "Do not change anything else other than MASK."
-_EXAMINE = "For every mention in <m> </m> tags examine if there is any {} mention."
-_DIFFERENT = "For example: author and book represent different entities."
-
+#: The instructions, as they stand, by number.
 INSTRUCTIONS = {
-    1: (
-        "The text is in {language}.",
-        "You are a coreference resolver.",
-        "Rewrite the sentence considering these rules:",
-        "Mentions are in <m>...</m>#MASK format.",
-        "Group the mentions that refer to same real-world entity.",
-        "If mentions refer to same thing write the same number instead of MASK.",
-        "If mentions represent different things write another number.",
-        _ZERO_NOTE,
-    ),
-    2: (
-        "Identify instances of coreference where different mentions refer to the same entity.",
-        "Rewrite the passage, tagging each term with a unique identifier and indicating coreferential relationships.",
-        "Ensure accuracy and consider context.",
-        "Fill MASK with unique number for every entity. Be sure that they represent exactly the same entity, not similar.",
-        "Example output format:",
-        "... <m>Bertrand Russell </m>#MASK is a good author, I love <m>The History of Western Philosophy </m>#MASK ...",
-        "... <m>Bertrand Russell </m>#0 is a good author, I love <m>The History of Western Philosophy </m>#1 ...",
-        _ZERO_NOTE,
-    ),
-    3: (_EXAMINE.format("coreferential/coherent"), _FILL, _KEEP, _ZERO_NOTE),
-    4: (_EXAMINE.format("coreferential"), _FILL, _DIFFERENT, _KEEP, _ZERO_NOTE),
-    5: (_EXAMINE.format("coreferential/coherent"), _FILL, _DIFFERENT, _KEEP, _ZERO_NOTE),
+    1: """\
+The text is in {language}.
+You are a coreference resolver.
+Rewrite the sentence considering these rules:
+Mentions are in <m>...</m>#MASK format.
+Group the mentions that refer to same real-world entity.
+If mentions refer to same thing write the same number instead of MASK.
+If mentions represent different things write another number.
+Where you see </z>@ there is a zero mention, which is normally not written but you also need to link them with other mentions.""",
+    2: """\
+Identify instances of coreference where different mentions refer to the same entity.
+Rewrite the passage, tagging each term with a unique identifier and indicating coreferential relationships.
+Ensure accuracy and consider context.
+Fill MASK with unique number for every entity. Be sure that they represent exactly the same entity, not similar.
+Example output format:
+... <m>Bertrand Russell </m>#MASK is a good author, I love <m>The History of Western Philosophy </m>#MASK ...
+... <m>Bertrand Russell </m>#0 is a good author, I love <m>The History of Western Philosophy </m>#1 ...
+Where you see </z>@ there is a zero mention, which is normally not written but you also need to link them with other mentions.""",
+    3: """\
+For every mention in <m> </m> tags examine if there is any coreferential/coherent mention.
+If two mentions represent the same entity write the same number instead of MASK after closing mention tag </m>.
+Do not change anything else other than MASK.
+Where you see </z>@ there is a zero mention, which is normally not written but you also need to link them with other mentions.""",
+    4: """\
+For every mention in <m> </m> tags examine if there is any coreferential mention.
+If two mentions represent the same entity write the same number instead of MASK after closing mention tag </m>.
+For example: author and book represent different entities.
+Do not change anything else other than MASK.
+Where you see </z>@ there is a zero mention, which is normally not written but you also need to link them with other mentions.""",
+    5: """\
+For every mention in <m> </m> tags examine if there is any coreferential/coherent mention.
+If two mentions represent the same entity write the same number instead of MASK after closing mention tag </m>.
+For example: author and book represent different entities.
+Do not change anything else other than MASK.
+Where you see </z>@ there is a zero mention, which is normally not written but you also need to link them with other mentions.""",
 }
 DEFAULT_INSTRUCTION = 5
 NO_LANGUAGE = "the given language"
@@ -63,10 +68,10 @@ RESPONSE_MARKS = ("<|start_header_id|>assistant<|end_header_id|>\n\n", "[/INST]"
 def instruction(number: Column | int, language: Column | str | None = None) -> Column:
     """The instruction of a number (the default for unknown ones) with the language filled in."""
     n = F.lit(number) if isinstance(number, int) else number
-    table = F.create_map(*[F.lit(x) for k, lines in INSTRUCTIONS.items() for x in (k, "\n".join(lines))])
+    table = F.create_map(*[F.lit(x) for kv in INSTRUCTIONS.items() for x in kv])
     said = F.lit(language) if language is None or isinstance(language, str) else language
     name = F.coalesce(F.nullif(said.cast("string"), F.lit("")), F.lit(NO_LANGUAGE))
-    return F.replace(F.coalesce(F.try_element_at(table, n), F.lit("\n".join(INSTRUCTIONS[DEFAULT_INSTRUCTION]))), F.lit("{language}"), name)
+    return F.replace(F.coalesce(F.try_element_at(table, n), F.lit(INSTRUCTIONS[DEFAULT_INSTRUCTION])), F.lit("{language}"), name)
 
 
 def _filled(template: str, value: Column) -> Column:

@@ -202,7 +202,7 @@ def merge_noisy_32(spark, d):
     return merge.merge_pairs(predict.attach(_pairs(spark, d, budget=32, skip_empty=False), predict.noisy(0.1)))
 
 
-@query("merge_head")
+@query("merge_head", select(_MERGED, "merged", heads=True))
 def merge_head(spark, d):
     p = _pairs(spark, d)
     return merge.merge_pairs(predict.attach(predict.head_match(p, S(_tokens(spark, d)))))
@@ -325,7 +325,10 @@ for _name, _best in (("all_singletons", "many"), ("all_one_cluster", "one"), ("h
         return _scores(spark, d, name).select("lang", "num_docs", *[F.round(c, 6).alias(c) for c in _SCORED])
 
 
-@query("scores_gold_against_gold")
+@query(
+    "scores_gold_against_gold",
+    select("SELECT coalesce(lang, 'overall') AS lang, count(*) AS num_docs, " + ", ".join(f"100.0::DOUBLE AS {c}" for c in _SCORED) + " FROM doc WHERE doc_key IN (SELECT doc_key FROM scored) GROUP BY ROLLUP (lang)", "doc", "scored"),
+)
 def scores_gold_against_gold(spark, d):
     gold, docs = _scorable(spark, d)
     return score.corpus_scores(gold, gold, docs, only_scored=True).select("lang", "num_docs", *[F.round(c, 6).alias(c) for c in _SCORED])
@@ -412,6 +415,12 @@ def language_table(spark, d):
     return report.language_table(_scores(spark, d, "head_match"))
 
 
+@query("long_scores")
+def long_scores(spark, d):
+    s = score.long_scores(_scores(spark, d, "all_one_cluster"))
+    return s.select("lang", "metric", *[F.round(c, 6).alias(c) for c in "prf"])
+
+
 @query("score_lines")
 def score_lines(spark, d):
     return report.score_lines(score.long_scores(_scores(spark, d, "all_one_cluster")))

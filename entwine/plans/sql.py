@@ -98,6 +98,13 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     # merging: a node is a local number of a pair; it continues the node of its first before mention
     "numbered": (("pair_mentions",), """
   SELECT *, {number} AS n FROM pair_mentions"""),
+    "pair_heads": (("pair_mentions", "sent"), """
+  SELECT *, CAST(dense_rank() OVER (PARTITION BY doc_key, pair_idx ORDER BY first) - 1 AS INTEGER) AS head_no
+  FROM (SELECT *, min(nth) OVER (PARTITION BY doc_key, pair_idx, lower(coalesce(h[len(h)], last))) AS first
+        FROM (SELECT m.*, list_filter(s.words[m.start_tok + 1 : m.end_tok + 1], lambda w: instr('.,;:!?।॥', w) = 0 AND w <> '') AS h, s.words[least(m.end_tok + 1, s.n_tokens)] AS last
+              FROM pair_mentions m JOIN sent s USING (doc_key, sent_idx)))"""),
+    "numbered_heads": (("pair_heads",), """
+  SELECT *, head_no AS n FROM pair_heads"""),
     "link": (("numbered",), """
   SELECT b.doc_key, b.pair_idx, b.n, arg_min(a.n, b.nth) AS parent FROM numbered b
   JOIN numbered a ON a.doc_key = b.doc_key AND a.pair_idx = b.pair_idx - 1 AND a.side = 1 AND a.sent_idx = b.sent_idx AND a.start_tok = b.start_tok AND a.end_tok = b.end_tok
@@ -137,9 +144,11 @@ def events(strict: bool) -> tuple[tuple[str, ...], str]:
   FROM {source} WHERE regexp_full_match(part, '{MARK}')"""
 
 
-def select(final: str, *needs: str, strict: bool = False, budget: int = 256, pred: str = "all_one_cluster", number: str = "local_no") -> str:
-    """A statement: the parts that are needed, in order, and the final select."""
+def select(final: str, *needs: str, strict: bool = False, budget: int = 256, pred: str = "all_one_cluster", number: str = "local_no", heads: bool = False) -> str:
+    """A statement: the parts that are needed, in order, and the final select; heads: pairs are numbered by head words."""
     parts = PARTS | {"ev": events(strict)}
+    if heads:
+        parts |= {"numbered": parts["numbered_heads"]}
     done: dict[str, str] = {}
 
     def add(name: str) -> None:
