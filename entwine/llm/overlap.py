@@ -10,6 +10,8 @@ most one segment, so at least HITS of them survive in every partner, and are amo
 rarest, at a position no further away than the unmatched words allow.  (Segments of several words would
 need twice as many pieces, as an insertion destroys them too: for a quarter of changed words that
 leaves fewer than two words in a piece, and the pieces of frequent words would match everywhere.)
+A training text sends only segments that some evaluation text of its band probes (by a
+table of fixed size), so a small evaluation set makes a small join, however large the training set is.
 Candidates with HITS surviving segments are verified, first by their shared multiset of words, then by
 dynamic programming over the band of positions that the tolerance permits.  No candidate is capped.
 
@@ -27,7 +29,6 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -43,6 +44,8 @@ TRAINING = ("train", "training")
 EVALUATION = ("development", "dev", "val", "validation", "valid", "test", "eval", "evaluation")
 #: Counters of the table of hashed document counts: its size, and so what is collected and broadcast, is fixed.
 COUNTERS = 1 << 17
+#: Bits of the table of segments that evaluation texts probe; training texts send no others.
+PROBES = 1 << 19
 #: Texts of one hot segment that one task joins; beyond it the segment is split by salts.
 HOT = 4_000
 
@@ -175,11 +178,36 @@ def probed(words: np.ndarray, texts: np.ndarray, share: float = SHARE, hits: int
     return distinct[chosen], count[chosen], first[chosen], last[chosen]
 
 
-def _segments(classes: DataFrame, texts, share: float, hits: int) -> DataFrame:
+def _slot(words: np.ndarray, band: np.ndarray | int) -> np.ndarray:
+    """Where a segment in a band of lengths stands in the table of probes."""
+    return (words // COUNTERS * 31 + words + np.asarray(band) * 7919) % PROBES
+
+
+def _probes(classes: DataFrame, texts, share: float, hits: int) -> np.ndarray:
+    """Which segments evaluation texts probe, in which bands: a table of fixed size, so collisions only cost time."""
+
+    def run(batches):
+        table, seen = texts.value, np.zeros(PROBES, bool)
+        for b in batches:
+            for words in map(_values, b.column(0)):
+                w = probed(words, table, share, hits)[0]
+                for step in (-1, 0, 1):
+                    seen[_slot(w, _band(len(words), share) + step)] = True
+        blocks = np.packbits(seen).view(np.int64)
+        at = np.flatnonzero(blocks)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(blocks[at])], names=["block", "bits"])
+
+    got = classes.where("evaluation").select("words").mapInArrow(run, "block int, bits bigint").groupBy("block").agg(F.bit_or("bits").alias("bits")).toPandas()
+    blocks = np.zeros(PROBES // 64, np.int64)
+    blocks[got["block"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return np.unpackbits(blocks.view(np.uint8)).astype(bool)
+
+
+def _segments(classes: DataFrame, texts, probes, share: float, hits: int) -> DataFrame:
     """A row for each probed segment of each class, for either side that the class has members of."""
 
     def run(batches):
-        table = texts.value
+        table, wanted = texts.value, probes.value
         for b in batches:
             parts = []
             for rep, train, evaluation, words in zip(*(b.column(i) for i in range(4))):
@@ -190,7 +218,8 @@ def _segments(classes: DataFrame, texts, share: float, hits: int) -> DataFrame:
                 rep = rep.as_py()
                 # a training text stands in one band and one salt; an evaluation text probes all it may match
                 if train.as_py():
-                    parts.append((w, np.full(len(w), band), np.full(len(w), rep) % salts, np.full(len(w), rep), np.full(len(w), n), c, lo, hi, np.zeros(len(w), bool)))
+                    at = np.flatnonzero(wanted[_slot(w, band)])
+                    parts.append((w[at], np.full(len(at), band), rep % salts[at], np.full(len(at), rep), np.full(len(at), n), c[at], lo[at], hi[at], np.zeros(len(at), bool)))
                 if evaluation.as_py():
                     times = np.repeat(np.arange(len(w)), 3 * salts)
                     step = np.arange(len(times)) - np.repeat(np.cumsum(3 * salts) - 3 * salts, 3 * salts)
@@ -271,7 +300,8 @@ def cross_split_overlaps(tokens: DataFrame, documents: DataFrame, min_words: int
         "overlap-classes",
     )
     texts = spark.sparkContext.broadcast(_counts(classes))
-    segments = _segments(classes, texts, share, hits)
+    probes = spark.sparkContext.broadcast(_probes(classes, texts, share, hits))
+    segments = _segments(classes, texts, probes, share, hits)
     pairs = _candidates(segments, share, hits)
     words = classes.select("rep", "words")
     pairs = pairs.join(words.select(F.col("rep").alias("e"), F.col("words").alias("ew")), "e").join(words.select(F.col("rep").alias("t"), F.col("words").alias("tw")), "t")
