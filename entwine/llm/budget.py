@@ -16,15 +16,13 @@ rows of one example_id in one snapshot are one example: the one created last.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
-from .encode import TOKENIZERS, _utf8, encoder
+from ..session import scratch
+from .encode import TOKENIZERS, _utf8, encoder, slices
 
 TOKENIZER = "byte_bpe_multi_50k"
 SLICE = ("source", "language", "domain")
@@ -61,7 +59,7 @@ def _count(texts: DataFrame, tokenizer: str, folder: str) -> DataFrame:
 
     def run(batches):
         e = encoder(tokenizer, folder)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             n = pa.array(e.counts(b.column(1)).astype(np.int64))
             mark = pa.array([e.hash] * b.num_rows, pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), mark, n, dominant_scripts(b.column(1))], names=["content", "tokenizer", "n_tokens", "script"])
@@ -122,7 +120,8 @@ class TokenLedger:
         hashed = s.withColumn("hi", digest("masked_input")).withColumn("ho", digest("output"))
         text = hashed.select(F.explode(F.array(*[F.struct(F.col(h).alias("content"), F.col(c).alias("text")) for h, c in (("hi", "masked_input"), ("ho", "output"))])).alias("t")).select("t.*").where("content is not null")
         seen = self.counts().where(F.col("tokenizer") == self.mark).select("content")
-        unseen = text.join(seen, "content", "left_anti").dropDuplicates(["content"])
+        # repeats go before the shuffle, so that a text of very many examples is no hot key of the join
+        unseen = text.dropDuplicates(["content"]).join(seen, "content", "left_anti")
         path = f"{self.folder}/counts-{self.version + 1}"
         _count(unseen, self.tokenizer, self.tokenizers).write.mode("overwrite").parquet(path)
         self.counted.append(path)
@@ -163,4 +162,4 @@ class TokenLedger:
 def token_budget(examples: DataFrame, codes: DataFrame, tokenizer: str = TOKENIZER, folder: str = TOKENIZERS) -> DataFrame:
     """The cube of one snapshot, by a new ledger in the shared folder."""
     spark = examples.sparkSession
-    return TokenLedger(spark, f"{shared_dir(spark)}/entwine/ledger-{uuid.uuid4().hex}", codes, tokenizer, folder).update(examples)
+    return TokenLedger(spark, scratch(spark, "ledger"), codes, tokenizer, folder).update(examples)

@@ -17,10 +17,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -29,6 +31,8 @@ TOKENIZERS = "/opt/tokenizers"
 DEFAULT = "byte_bpe_50k"
 #: A fragment over so many bytes is cut at all certain cuts within it.
 LONG = 48
+#: Bytes of text that are encoded at once, whatever the size of an Arrow batch.
+PASS = 4_000_000
 #: Distinct fragments, and ids, that a worker remembers.
 MEMO = 600_000
 
@@ -151,13 +155,24 @@ def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, data
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most PASS bytes of one text column (a longer text is a part of its own)."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first, end = 0, np.cumsum(size)
+    while first < batch.num_rows:
+        done = int(end[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(end, done + PASS, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", ids: str = "ids", tokenizer: str = DEFAULT, folder: str = TOKENIZERS) -> DataFrame:
     """The key and the ids of each text, in a narrow map: no shuffle."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         e = encoder(tokenizer, folder)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             out, ends = e.encode(b.column(1))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(out))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[key, ids])
@@ -173,7 +188,7 @@ def count_tokens(df: DataFrame, text: str = "text", tokens: str = "n_tokens", to
 
     def run(batches):
         e = encoder(tokenizer, folder)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, whole.schema.get_field_index(text))):
             n = pa.array(e.counts(b.column(b.schema.get_field_index(text))).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in kept], n], names=[*kept, tokens])
 
