@@ -6,8 +6,8 @@ that is left, the lengths, pairs and triples whose sum fills its gap exactly are
 the available lengths and consumed as often as their counts allow; sizes for which no exact combination is left are placed
 best-fit.  The plan is a list of patterns (how many sequences hold how many items of each size),
 so nothing that is collected or broadcast grows with the number of texts.  Each text then finds its
-place from its rank among the texts of its size; ranks are counted in salted groups, as a third of all
-texts may have one size.
+place from its rank among the texts of its size; ranks are counted in salted groups, whose number grows
+with the largest count, as a third of all texts may have one size.
 
 Defined results: a text over the capacity is cut into whole sequences and a rest, which is packed; a text without
 tokens (null or empty) has one row with no sequence; ties are ordered by key.
@@ -27,8 +27,9 @@ from ..session import cut
 from .encode import DEFAULT, TOKENIZERS, count_tokens
 
 CAPACITY = 2048
-#: Ranked groups of one size.
-SALTS = 64
+#: Groups in which the items of one size are ranked, at least, and the items that one group is to hold.
+SALTS = 16
+RANKED = 500_000
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
 
@@ -169,21 +170,24 @@ def pack_sizes(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", ca
     # every whole sequence is one item of the size of the capacity, and the rest is one more
     items = base.select(
         key, F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.col("__whole") - F.when(F.col("__rest") == 0, 1).otherwise(0), F.lit(0))), lambda i: F.struct(i.alias("piece_no"), F.when(i < F.col("__whole"), capacity).otherwise(F.col("__rest")).alias("n")))).alias("__p")
-    ).select(key, F.col("__p.piece_no").alias("piece_no"), F.col("__p.n").alias("n_tokens"), F.pmod(F.xxhash64(key, F.col("__p.piece_no")), F.lit(salts)).cast("int").alias("__salt"))
-    counted = items.where("n_tokens > 0").groupBy("n_tokens", "__salt").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    histogram = {int(s): int(n) for s, n in counted.groupby("n_tokens")["n"].sum().items()}
-    before = np.zeros((capacity + 1, salts), np.int64)
-    before[counted["n_tokens"].to_numpy(np.int64), counted["__salt"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    before = np.cumsum(before, axis=1) - before
-    shared = sizes.sparkSession.sparkContext.broadcast((_lookup(plan(histogram, capacity)), before))
-    ranked = items.withColumn("__rank", F.row_number().over(W.partitionBy("n_tokens", "__salt").orderBy(key, "piece_no")))
+    ).select(key, F.col("__p.piece_no").alias("piece_no"), F.col("__p.n").alias("n_tokens"))
+    counted = items.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    histogram = {int(s): int(n) for s, n in zip(counted["n_tokens"], counted["n"])}
+    salts = max(salts, -(-max(histogram.values(), default=0) // RANKED))
+    shared = sizes.sparkSession.sparkContext.broadcast(_lookup(plan({s: n for s, n in histogram.items() if s}, capacity)))
+    # ranks within a salted group, and what the groups before it hold: neither is one task's, whatever a size's share
+    salted = items.withColumn("__salt", F.pmod(F.xxhash64(key, "piece_no"), F.lit(salts)).cast("int"))
+    groups = salted.groupBy("n_tokens", "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy("n_tokens").orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.select("n_tokens", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    ranked = salted.withColumn("__nth", F.row_number().over(W.partitionBy("n_tokens", "__salt").orderBy(key, "piece_no"))).join(groups, ["n_tokens", "__salt"])
+    ranked = ranked.withColumn("__rank", F.col("__nth") - 1 + F.col("__before"))
     kind = sizes.schema[key].dataType.simpleString()
 
     def place(batches):
-        lookup, first = shared.value
+        lookup = shared.value
         for b in batches:
-            n, salt, rank = (b.column(i).to_numpy() for i in (2, 3, 4))
-            rank = rank - 1 + first[n, salt]
+            n, rank = b.column(2).to_numpy(), b.column(3).to_numpy()
             sequence, offset = np.zeros(len(n), np.int64), np.zeros(len(n), np.int32)
             for size in np.unique(n).tolist():
                 at = np.flatnonzero(n == size)
@@ -201,7 +205,7 @@ def pack_sizes(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", ca
                 names=[key, "piece_no", "start", "n_tokens", "sequence", "offset"],
             )
 
-    return ranked.select(key, "piece_no", "n_tokens", "__salt", "__rank").mapInArrow(place, f"`{key}` {kind}, piece_no int, start bigint, n_tokens int, sequence bigint, offset int")
+    return ranked.select(key, "piece_no", "n_tokens", "__rank").mapInArrow(place, f"`{key}` {kind}, piece_no int, start bigint, n_tokens int, sequence bigint, offset int")
 
 
 def pack_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = DEFAULT, folder: str = TOKENIZERS) -> DataFrame:
