@@ -314,13 +314,25 @@ WITH s AS (
     CASE WHEN coalesce(mr, 0) + coalesce(mp, 0) > 0 THEN 2 * mr * mp / (mr + mp) ELSE 0 END AS mf, CASE WHEN br + bp > 0 THEN 2 * br * bp / (br + bp) ELSE 0 END AS bf,
     CASE WHEN cr + cp > 0 THEN 2 * cr * cp / (cr + cp) ELSE 0 END AS cf FROM s
 )
+"""
+_CONLL_SUMMARY = _CONLL + """
 SELECT lang, num_docs, round(100 * mf, 6) AS muc_f, round(100 * bf, 6) AS b3_f, round(100 * cf, 6) AS ceafe_f,
   round(100 * (mp + bp + cp) / 3, 6) AS conll_p, round(100 * (mr + br + cr) / 3, 6) AS conll_r, round(100 * (mf + bf + cf) / 3, 6) AS conll_f FROM f
 """
+_CONLL_LONG = _CONLL + """, long AS (
+  SELECT lang, num_docs, unnest(['muc', 'b3', 'ceafe', 'conll']) AS metric, unnest([100 * mp, 100 * bp, 100 * cp, 100 * (mp + bp + cp) / 3]) AS p,
+    unnest([100 * mr, 100 * br, 100 * cr, 100 * (mr + br + cr) / 3]) AS r, unnest([100 * mf, 100 * bf, 100 * cf, 100 * (mf + bf + cf) / 3]) AS f FROM f)
+"""
 _SCORED = ("muc_f", "b3_f", "ceafe_f", "conll_p", "conll_r", "conll_f")
+
+
+def _conll_sql(final: str, name: str, best: str) -> str:
+    return select("SELECT * FROM (" + final.replace("{best}", best) + ")", "doc", "golds", "preds", "cell", pred=name)
+
+
 for _name, _best in (("all_singletons", "many"), ("all_one_cluster", "one"), ("head_match", None)):
 
-    @query(f"conll_{_name}", _best and select("SELECT * FROM (" + _CONLL.replace("{best}", _best) + ")", "doc", "golds", "preds", "cell", pred=_name))
+    @query(f"conll_{_name}", _best and _conll_sql(_CONLL_SUMMARY, _name, _best))
     def conll_mean(spark, d, name=_name):
         return _scores(spark, d, name).select("lang", "num_docs", *[F.round(c, 6).alias(c) for c in _SCORED])
 
@@ -410,18 +422,25 @@ def ablation_pivot(spark, d):
     return report.ablation(s, run="baseline", groups=["bn", "en", "hi", "ta", "und", "overall"])
 
 
-@query("language_table")
+_TABLE = """
+SELECT lang, concat_ws(' | ', rpad(upper(lang), 12, ' '), rpad(max(CASE WHEN metric = 'muc' THEN printf('%.2f', f) END), 8, ' '), rpad(max(CASE WHEN metric = 'b3' THEN printf('%.2f', f) END), 8, ' '),
+  rpad(max(CASE WHEN metric = 'ceafe' THEN printf('%.2f', f) END), 9, ' '), rpad(max(CASE WHEN metric = 'conll' THEN printf('%.2f', f) END), 9, ' '), rpad(CAST(num_docs AS VARCHAR), 6, ' ')) AS line
+FROM long GROUP BY lang, num_docs
+"""
+
+
+@query("language_table", _conll_sql(_CONLL_LONG + _TABLE, "all_one_cluster", "one"))
 def language_table(spark, d):
-    return report.language_table(_scores(spark, d, "head_match"))
+    return report.language_table(_scores(spark, d, "all_one_cluster"))
 
 
-@query("long_scores")
+@query("long_scores", _conll_sql(_CONLL_LONG + "SELECT lang, metric, round(p, 6) AS p, round(r, 6) AS r, round(f, 6) AS f FROM long", "all_one_cluster", "one"))
 def long_scores(spark, d):
     s = score.long_scores(_scores(spark, d, "all_one_cluster"))
     return s.select("lang", "metric", *[F.round(c, 6).alias(c) for c in "prf"])
 
 
-@query("score_lines")
+@query("score_lines", _conll_sql(_CONLL_LONG + "SELECT lang, metric, printf('%-6s  P=%6.2f  R=%6.2f  F=%6.2f', upper(metric), p, r, f) AS line FROM long", "all_one_cluster", "one"))
 def score_lines(spark, d):
     return report.score_lines(score.long_scores(_scores(spark, d, "all_one_cluster")))
 
@@ -471,7 +490,14 @@ def left_truncated(spark, d):
     return e.select("example_id", F.array_join(last_tokens(F.split("masked_input", " "), 40), " ").alias("text"))
 
 
-@query("pair_examples")
+@query(
+    "pair_examples",
+    select(
+        "SELECT doc_key, pair_idx, doc_id, lang AS language, '" + prompts.INSTRUCTIONS[5].replace("'", "''") + "' AS instruction, masked_input, output FROM pair_text JOIN doc USING (doc_key) "
+        "WHERE EXISTS (SELECT 1 FROM pair_mentions m WHERE m.doc_key = pair_text.doc_key AND m.pair_idx = pair_text.pair_idx)",
+        "pair_text", "doc",
+    ),
+)
 def pair_examples(spark, d):
     """The whole example table as it would be trained on, with the instruction of the best setting."""
     p = _pairs(spark, d).join(_documents(spark, d).select("doc_key", "doc_id", "lang"), "doc_key")

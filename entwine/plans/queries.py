@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import packed, rejects
 from ..session import table
@@ -26,24 +27,31 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-_REJECTS_SQL = r"""
+_JUDGED_SQL = r"""
 WITH rows AS (
-  SELECT line_id, n_cols, regexp_replace(raw, '\r$', '') AS line FROM raw_conll_lines
+  SELECT *, regexp_replace(raw, '\r$', '') AS line FROM raw_conll_lines
 ), tokens AS (
   SELECT *, regexp_full_match(line, '(?:"(?:[^"]|"")*"|[^"\t]*)(?:\t(?:"(?:[^"]|"")*"|[^"\t]*))*') AS quoted,
     list_transform(regexp_extract_all(chr(9) || line, '\t("(?:[^"]|"")*"|[^"\t]*)', 1),
       lambda f: CASE WHEN f LIKE '"%' THEN replace(f[2:-2], '""', '"') ELSE f END) AS f
   FROM rows WHERE NOT regexp_full_match(line, '[\s\p{Z}]*') AND NOT regexp_matches(line, '^\s*#(?:begin|end) document\b')
-), judged AS (
-  SELECT line_id, quoted AND len(f) = n_cols AS shaped, f[3] AS i,
+), cells AS (
+  SELECT *, len(f) = n_cols AS shaped, f[3] AS i, translate(regexp_replace(f[3], '[\s\p{Z}]', '', 'g'), '०१२३४५६७८९০১২৩৪৫৬৭৮৯௦௧௨௩௪௫௬௭௮௯', '012345678901234567890123456789') AS digits,
     regexp_replace(f[n_cols], '\(\p{Nd}+\)|\(\p{Nd}+|\p{Nd}+\)', chr(2), 'g') AS coref FROM tokens
+), judged AS (
+  SELECT *, regexp_full_match(i, '[\s\p{Z}]*\p{Nd}+[\s\p{Z}]*') AS numeric,
+    coalesce(try_cast(digits AS HUGEINT), 99999999999) <= 2147483647 AS fits,
+    regexp_full_match(coref, '[\s\p{Z}|｜;,、/\\&+"''\[\]]*(?:(?:\x02|[-*_])[\s\p{Z}|｜;,、/\\&+"''\[\]]*)*') AS marked
+  FROM cells
 )
-SELECT line_id FROM judged
-WHERE NOT (shaped AND regexp_full_match(i, '[\s\p{Z}]*\p{Nd}+[\s\p{Z}]*')
-  AND NOT regexp_matches(i, '\p{Nd}{11}')
-  AND coalesce(try_cast(regexp_replace(i, '[\s\p{Z}]', '', 'g') AS BIGINT), 0) <= 2147483647
-  AND regexp_full_match(coref, '[\s\p{Z}|｜;,、/\\&+"''\[\]]*(?:(?:\x02|[-*_])[\s\p{Z}|｜;,、/\\&+"''\[\]]*)*'))
 """
+_REJECTS_SQL = _JUDGED_SQL + "SELECT line_id FROM judged WHERE NOT (quoted AND shaped AND numeric AND fits AND marked)"
+_LOADED_SQL = _JUDGED_SQL + """SELECT line_id, file_name, line_no, f[1] AS doc_id, f[2] AS part_no, CAST(digits AS INTEGER) AS idx, f[4] AS text, f[n_cols] AS coref
+FROM judged WHERE quoted AND shaped AND numeric AND fits AND marked"""
+_REASONS_SQL = _JUDGED_SQL + """SELECT line_id, file_name, line_no, n_cols, raw,
+  CASE WHEN NOT quoted THEN 'broken_quoting' WHEN NOT shaped THEN 'wrong_column_count'
+    ELSE concat_ws(',', CASE WHEN NOT marked THEN 'coref_invalid' END, CASE WHEN NOT numeric THEN 'index_not_a_number' WHEN NOT fits THEN 'index_over_int' END) END AS reasons
+FROM judged WHERE NOT (quoted AND shaped AND numeric AND fits AND marked)"""
 
 
 @query("p3_found", _REJECTS_SQL)
@@ -51,15 +59,13 @@ def p3_found(spark, d):
     return rejects.found_rejects(table(spark, d, "raw_conll_lines"))
 
 
-@query("p3_loaded_tokens")
+@query("p3_loaded_tokens", _LOADED_SQL)
 def p3_loaded_tokens(spark, d):
     return rejects.split_rows(table(spark, d, "raw_conll_lines"))[0]
 
 
-@query("p3_rejected")
+@query("p3_rejected", _REASONS_SQL)
 def p3_rejected(spark, d):
-    from pyspark.sql import functions as F
-
     bad = rejects.split_rows(table(spark, d, "raw_conll_lines"))[1]
     return bad.select("line_id", "file_name", "line_no", "n_cols", "raw", F.array_join("reasons", ",").alias("reasons"))
 
