@@ -180,9 +180,13 @@ def conll_lines(tokens: DataFrame, predicted: DataFrame, documents: DataFrame, p
     return docs.select("doc_key", F.posexplode(lines).alias("line_no", "line"))
 
 
-def write_conll(lines: DataFrame, documents: DataFrame, path: str) -> None:
-    """One folder for each document, named by its key and its id with what file names can't hold escaped."""
+def write_conll(lines: DataFrame, documents: DataFrame, path: str, separate: bool = True) -> None:
+    """Writes documents as files: separate ones in folders named by key and id (what names can't hold is escaped),
+    or, for many documents, as many to a file as a partition has."""
     text = lines.groupBy("doc_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    if not separate:
+        text.select("value").write.mode("overwrite").text(path)
+        return
     name = F.concat(F.col("doc_key").cast("string"), F.lit("-"), F.regexp_replace("doc_id", r"[^\w.-]", "_"))
     named = text.join(documents.select("doc_key", "doc_id"), "doc_key").select(name.alias("document"), "value")
     named.write.mode("overwrite").partitionBy("document").text(path)

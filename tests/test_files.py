@@ -65,6 +65,19 @@ def test_round_trip(spark):
     assert all("3" not in r["line"] for r in conll.conll_lines(tokens, wrong, documents).collect())
 
 
+def test_many_documents_to_a_file(spark, tmp_path):
+    texts = [f"#begin document (a/{i}); part 0\na/{i}\t0\t0\tw{i}\t_\t_\t(1)\n\n#end document" for i in range(20)]
+    tokens = conll.with_doc_key(conll.scan_lines(lines_of(spark, "\n".join(texts))))
+    documents = tokens.select("doc_key", "doc_id").distinct()
+    out = conll.conll_lines(tokens, mentions.mentions(tokens), documents)
+    conll.write_conll(out, documents, str(tmp_path / "many"), separate=False)
+    files = [p.read_text() for p in (tmp_path / "many").glob("part-*")]
+    back = conll.scan_lines(lines_of(spark, "\n".join(files)))
+    assert {(r["doc_id"], r["text"], r["coref"]) for r in back.collect()} == {(f"a/{i}", f"w{i}", "(1)") for i in range(20)}
+    conll.write_conll(out, documents, str(tmp_path / "each"))
+    assert len(list((tmp_path / "each").glob("document=*a_*"))) == 20
+
+
 @pytest.fixture
 def root(tmp_path):
     body = "#begin document ({0}); part 0\n" + "".join(f"{{0}}\t0\t{i}\t{w}\t_\t_\t{c}\n" for i, (w, c) in enumerate([("He", "(1)"), ("saw", "-"), ("her", "(2)"), (".", "-")])) + "\n"
