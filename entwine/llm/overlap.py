@@ -203,7 +203,7 @@ def _probes(classes: DataFrame, texts, share: float, hits: int) -> np.ndarray:
     return np.unpackbits(blocks.view(np.uint8)).astype(bool)
 
 
-def _segments(classes: DataFrame, texts, probes, share: float, hits: int) -> DataFrame:
+def _segments(classes: DataFrame, texts, probes, share: float, hits: int, hot: int) -> DataFrame:
     """A row for each probed segment of each class, for either side that the class has members of."""
 
     def run(batches):
@@ -213,7 +213,7 @@ def _segments(classes: DataFrame, texts, probes, share: float, hits: int) -> Dat
             for rep, train, evaluation, words in zip(*(b.column(i) for i in range(4))):
                 words = _values(words)
                 n, (w, c, lo, hi) = len(words), probed(words, table, share, hits)
-                salts = np.maximum(1, -(-table[w % COUNTERS] // HOT))
+                salts = np.maximum(1, -(-table[w % COUNTERS] // hot))
                 band = _band(n, share)
                 rep = rep.as_py()
                 # a training text stands in one band and one salt; an evaluation text probes all it may match
@@ -286,7 +286,7 @@ def _verify(pairs: DataFrame, share: float) -> DataFrame:
     return pairs.select("e", "t", "ew", "tw").mapInArrow(run, "e bigint, t bigint, common int")
 
 
-def cross_split_overlaps(tokens: DataFrame, documents: DataFrame, min_words: int = MIN_WORDS, share: float = SHARE, hits: int = HITS) -> DataFrame:
+def cross_split_overlaps(tokens: DataFrame, documents: DataFrame, min_words: int = MIN_WORDS, share: float = SHARE, hits: int = HITS, hot: int = HOT) -> DataFrame:
     """train_key, eval_key, n_train, n_eval, common: all pairs of the two sides that overlap."""
     if not 0.5 < share <= 1:
         raise ValueError("share must be over 0.5 and at most 1")
@@ -301,7 +301,7 @@ def cross_split_overlaps(tokens: DataFrame, documents: DataFrame, min_words: int
     )
     texts = spark.sparkContext.broadcast(_counts(classes))
     probes = spark.sparkContext.broadcast(_probes(classes, texts, share, hits))
-    segments = _segments(classes, texts, probes, share, hits)
+    segments = _segments(classes, texts, probes, share, hits, hot)
     pairs = _candidates(segments, share, hits)
     words = classes.select("rep", "words")
     pairs = pairs.join(words.select(F.col("rep").alias("e"), F.col("words").alias("ew")), "e").join(words.select(F.col("rep").alias("t"), F.col("words").alias("tw")), "t")

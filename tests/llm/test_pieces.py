@@ -191,6 +191,20 @@ def test_overlaps_of_odd_tables(spark):
     assert overlap.found_pairs(t, d.limit(0)).count() == 0
 
 
+def test_a_hot_group_of_copies(spark):
+    """Copies are one class until their pairs are written; frequent segments are salted and lose nothing."""
+    words = [f"w{i}" for i in range(50)]
+    near = {k: [*words[:45], *(f"x{k % 9}{i}" for i in range(5))] for k in range(60, 90)}
+    docs = {k: near.get(k, words) for k in range(90)}
+    splits = {k: "train" if k % 4 else "test" for k in docs}
+    t, d = corpus(spark, docs, splits)
+    got = {(r["train_key"], r["eval_key"]): r["common"] for r in overlap.cross_split_overlaps(t, d, hot=3).collect()}
+    n_test = sum(s == "test" for s in splits.values())
+    assert len(got) == n_test * (90 - n_test)
+    assert all(n == lcs(docs[a], docs[b]) for (a, b), n in list(got.items())[::97])
+    assert overlap.cross_split_overlaps(t, d, hot=10**6).count() == len(got)
+
+
 def test_banded_programme():
     rng = random.Random(6)
     for _ in range(500):
