@@ -66,7 +66,12 @@ def outermost(found: Column, n_tokens: Column) -> Column:
     """The mentions of one sentence that are rendered: from the left, the longest that starts at or after the end
     of the last one taken.  One that crosses or lies in a taken one is dropped and blocks nothing; a zero
     mention takes no room.  found: ARRAY<STRUCT<start_tok, end_tok, mention_ord, cluster_id, is_zero>>."""
-    ordered = F.array_sort(F.transform(found, lambda m: F.struct(m["start_tok"].alias("s"), (m["start_tok"] - m["end_tok"]).alias("l"), m["mention_ord"].alias("o"), m["end_tok"].alias("e"), m["cluster_id"].alias("c"), m["is_zero"].alias("z"))))
+
+    def sortable(m):
+        fields = {"s": m["start_tok"], "l": m["start_tok"] - m["end_tok"], "o": m["mention_ord"], "e": m["end_tok"], "c": m["cluster_id"], "z": m["is_zero"]}
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    ordered = F.array_sort(F.transform(found, sortable))
     empty = F.struct(F.slice(ordered, 1, 0).alias("taken"), F.lit(0).alias("free"))
 
     def step(acc, m):
@@ -96,7 +101,8 @@ def _rendered(sentence: Column, label) -> Column:
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, m):
-        text = F.when(m["z"], F.concat(F.lit("</z>"), label(m))).otherwise(F.concat(F.lit("<m>"), F.array_join(_texts(words, m["s"], m["e"] + 1), " "), F.lit("</m>"), label(m)))
+        overt = F.concat(F.lit("<m>"), F.array_join(_texts(words, m["s"], m["e"] + 1), " "), F.lit("</m>"), label(m))
+        text = F.when(m["z"], F.concat(F.lit("</z>"), label(m))).otherwise(overt)
         return F.struct(
             F.concat(acc["out"], _texts(words, acc["at"], m["s"]), F.array(text)).alias("out"),
             F.when(m["z"], F.greatest(acc["at"], m["s"])).otherwise(F.least(m["e"] + 1, F.size(words))).alias("at"),
@@ -117,14 +123,21 @@ def pairs(sentences: DataFrame, found: DataFrame, budget: int = BUDGET, skip_emp
     pair = each.select("doc_key", "pair_idx", _frame(F.col("pair_idx")).alias("before"), _frame(F.col("pair_idx") + 1).alias("after"))
 
     def flat(side):
-        return F.flatten(F.transform(side, lambda s: F.transform(s["taken"], lambda m: F.struct(s["sent_idx"].alias("sent_idx"), m["s"].alias("start_tok"), m["e"].alias("end_tok"), m["c"].alias("cluster_id"), m["z"].alias("is_zero")))))
+        def mention(s, m):
+            return F.struct(s["sent_idx"].alias("sent_idx"), m["s"].alias("start_tok"), m["e"].alias("end_tok"), m["c"].alias("cluster_id"), m["z"].alias("is_zero"))
+
+        return F.flatten(F.transform(side, lambda s: F.transform(s["taken"], lambda m: mention(s, m))))
 
     pair = pair.withColumn("bm", flat(F.col("before"))).withColumn("am", flat(F.col("after")))
     if skip_empty:
         pair = pair.where(F.size("bm") + F.size("am") >= max(1, least_mentions))
     pair = pair.withColumn("order", F.array_distinct(F.concat("bm.cluster_id", "am.cluster_id")))
     local = lambda c: (F.array_position("order", c) - 1).cast("int")
-    numbered = lambda side: F.transform(side, lambda m: F.struct(m["sent_idx"].alias("sent_idx"), m["start_tok"].alias("start_tok"), m["end_tok"].alias("end_tok"), m["cluster_id"].alias("cluster_id"), local(m["cluster_id"]).alias("local_no"), m["is_zero"].alias("is_zero")))
+
+    def numbered(side):
+        before_number = ("sent_idx", "start_tok", "end_tok", "cluster_id")
+        return F.transform(side, lambda m: F.struct(*[m[c].alias(c) for c in before_number], local(m["cluster_id"]).alias("local_no"), m["is_zero"].alias("is_zero")))
+
     mask = lambda m: F.when(m["z"], "@MASK").otherwise("#MASK")
     number = lambda m: F.concat(F.lit("#"), local(m["c"]).cast("string"))
     text = lambda side, label: F.array_join(F.transform(side, lambda s: _rendered(s, label)), " ")

@@ -96,7 +96,8 @@ def head_match(pairs: DataFrame, sentences: DataFrame) -> DataFrame:
     """numbers by the head words of the pair's mentions: the same head has the same number, by first appearance."""
 
     mentions = pairs.select("doc_key", "pair_idx", F.posexplode(F.concat("before_mentions", "after_mentions")).alias("nth", "m"))
-    heads = mentions.select("doc_key", "pair_idx", "nth", F.col("m.sent_idx").alias("sent_idx"), F.col("m.start_tok").alias("s"), F.col("m.end_tok").alias("e")).join(sentences.select("doc_key", "sent_idx", "words"), ["doc_key", "sent_idx"])
+    placed = mentions.select("doc_key", "pair_idx", "nth", F.col("m.sent_idx").alias("sent_idx"), F.col("m.start_tok").alias("s"), F.col("m.end_tok").alias("e"))
+    heads = placed.join(sentences.select("doc_key", "sent_idx", "words"), ["doc_key", "sent_idx"])
     by = heads.groupBy("doc_key", "pair_idx").agg(F.array_sort(F.collect_list(F.struct("nth", head_word(F.col("words"), F.col("s"), F.col("e")).alias("head")))).alias("h"))
     order = F.array_distinct(F.col("h.head"))
     by = by.select("doc_key", "pair_idx", F.transform("h.head", lambda h: (F.array_position(order, h) - 1).cast("int")).alias("numbers"))
@@ -112,7 +113,9 @@ def attach(pairs: DataFrame, numbers: Column | str = "numbers") -> DataFrame:
     def numbered(side, shift):
         return F.transform(side, lambda m, i: m.withField("predicted_local_no", F.coalesce(F.get("__n", i + shift), i + shift).cast("int")))
 
-    return given.withColumn("output_text", fill_masks(F.col("masked_input"), F.col("__n"))).withColumn("after_mentions", numbered(F.col("after_mentions"), first)).withColumn("before_mentions", numbered(F.col("before_mentions"), F.lit(0))).drop("__n")
+    after, before = numbered(F.col("after_mentions"), first), numbered(F.col("before_mentions"), F.lit(0))
+    text = fill_masks(F.col("masked_input"), F.col("__n"))
+    return given.withColumns({"output_text": text, "after_mentions": after, "before_mentions": before}).drop("__n")
 
 
 def mask_mismatch(pairs: DataFrame) -> DataFrame:

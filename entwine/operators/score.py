@@ -130,7 +130,9 @@ def cell_scores(cell: DataFrame, documents: DataFrame, group: str = "lang", only
     every = documents.select("doc_key", group).join(sums, "doc_key", "right" if only_scored or run else "full")
     every = every.withColumn(group, F.coalesce(group, F.lit("all")))
     total = every.rollup(*own, group)
-    total = total.agg(F.count("doc_key").alias("num_docs"), F.countDistinct(group).alias("__groups"), F.grouping(group).alias("__all"), *([F.grouping(run).alias("__runs")] if run else []), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS])
+    levels = [F.grouping(group).alias("__all"), *([F.grouping(run).alias("__runs")] if run else [])]
+    sums_of = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS]
+    total = total.agg(F.count("doc_key").alias("num_docs"), F.countDistinct(group).alias("__groups"), *levels, *sums_of)
     if run:
         total = total.where("__runs = 0")
     kept = total.where("__all = 0 or __groups > 1").withColumn(group, F.when(F.col("__all") == 1, "overall").otherwise(F.col(group)))

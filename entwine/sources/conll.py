@@ -35,7 +35,10 @@ def scan_lines(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """file, doc_seq, doc_id, sent_idx, tok_pos, tok_idx, text, coref of numbered lines (file, line_no, raw)."""
     raw = F.coalesce("raw", F.lit(""))
     begins, ends = raw.startswith("#begin document"), raw.startswith("#end document")
-    marker = F.when(begins, F.struct(F.lit(True).alias("open"), F.coalesce(F.nullif(F.regexp_extract(raw, r"^#begin document \((.+?)\)", 1), F.lit("")), _stem(F.col("file"))).alias("doc_id"))).when(ends, F.struct(F.lit(False).alias("open"), F.lit(None).cast("string").alias("doc_id")))
+    name = F.coalesce(F.nullif(F.regexp_extract(raw, r"^#begin document \((.+?)\)", 1), F.lit("")), _stem(F.col("file")))
+    opened = F.struct(F.lit(True).alias("open"), name.alias("doc_id"))
+    closed = F.struct(F.lit(False).alias("open"), F.lit(None).cast("string").alias("doc_id"))
+    marker = F.when(begins, opened).when(ends, closed)
     rows = lines.select("file", "line_no", raw.alias("raw"), F.floor(F.col("line_no") / chunk).alias("chunk"), marker.alias("marker"))
     rows = rows.withColumn("begin", F.coalesce(F.col("marker.open"), F.lit(False)).cast("long")).withColumn("blank", (F.col("marker").isNull() & F.col("raw").rlike(r"(?U)^\s*$")).cast("long"))
     local = W.partitionBy("file", "chunk").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
