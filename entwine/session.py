@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +67,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def package_on_path() -> str:
-    """The folder that holds this package, for --py-files or PYTHONPATH."""
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python workers, once for each context; they may lack it otherwise.
+
+    A no-op where the package came as a file of the application already.
+    """
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="entwine-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/entwine.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(f"{folder}/entwine.zip")  # the driver's file server hands it out, to late executors too
+    _shipped.add(context.applicationId)
+
+
+_shipped: set[str] = set()
