@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .score import KEY, cell_scores, counted_cells
+from .score import KEY, SUMS, counted_cells, document_sums, sum_scores
 
 NAMES = ("all_singletons", "all_one_cluster", "head_match")
 
@@ -41,6 +41,11 @@ def cells(found: DataFrame, name: str) -> DataFrame:
     return counted_cells(with_predictions(found).select("doc_key", F.col("cluster_id").alias("gold_id"), F.col(name).alias("pred_id")))
 
 
+def head_cells(found: DataFrame) -> DataFrame:
+    """Cells of gold against the clusters of a head, which need no number of their own to be counted."""
+    return found.groupBy("doc_key", F.col("cluster_id").alias("gold_id"), F.col("head").alias("pred_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def scorable(found: DataFrame, least: int = 2) -> DataFrame:
     """Mentions of the documents with at least so many."""
     return found.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy("doc_key"))).where(F.col("__n") >= least).drop("__n")
@@ -49,10 +54,29 @@ def scorable(found: DataFrame, least: int = 2) -> DataFrame:
 def evaluate(found: DataFrame, documents: DataFrame, least: int = 2) -> DataFrame:
     """baseline and the corpus scores of each, over the documents with at least two mentions.
 
-    found: one row for each position, with its head.  All three are scored in one pass, with the
-    baseline as a part of the document's key.
+    found: one row for each position, with its head.  Only the cells of gold clusters and heads are counted.
+    What the two other baselines give follows from the sizes of the gold clusters: with one cluster for
+    each of the N mentions, nothing is linked and a cluster of s has one best partner, 2 / (s + 1); with one
+    cluster for all, every link of gold is found, and the largest cluster is the best partner, 2 s / (s + N).
     """
-    named = F.explode(F.array(*[F.struct(F.lit(n).alias("baseline"), F.col(n).alias("pred_id")) for n in NAMES]))
-    made = with_predictions(scorable(found, least)).select("doc_key", F.col("cluster_id").alias("gold_id"), named.alias("b"))
-    cell = counted_cells(made.select("b.baseline", "doc_key", "gold_id", "b.pred_id"), "baseline")
-    return cell_scores(cell, documents, only_scored=True, run="baseline")
+    head = head_cells(found)
+    gold = lambda value: F.sum(F.when(F.col("g_first"), value).otherwise(0))
+    s = F.col("g_size")
+    sums = document_sums(head, more={"squares": gold(s * s), "halves": gold(2 / (s + 1)), "largest": F.max("g_size")})
+    sums = sums.where(F.col("gold_mentions") >= least)
+    n, g, links = F.col("gold_mentions"), F.col("n_gold"), F.col("muc_r_den")
+    zero = F.lit(0)
+    rules = {
+        "head_match": {c: F.col(c) for c in SUMS},
+        "all_singletons": dict(
+            muc_r_num=zero, muc_r_den=links, muc_p_num=zero, muc_p_den=zero, b3_r_num=g, b3_p_num=n, b3_den=n, ceafe_num=F.col("halves"), n_gold=g, n_pred=n, gold_mentions=n, pred_mentions=n,
+        ),
+        "all_one_cluster": dict(
+            muc_r_num=links, muc_r_den=links, muc_p_num=n - g, muc_p_den=n - 1, b3_r_num=n, b3_p_num=F.col("squares") / n, b3_den=n, ceafe_num=2 * F.col("largest") / (F.col("largest") + n),
+            n_gold=g, n_pred=F.lit(1), gold_mentions=n, pred_mentions=n,
+        ),
+    }
+    real = {"b3_r_num", "b3_p_num", "ceafe_num"}
+    row = lambda name: F.struct(F.lit(name).alias("baseline"), *[rules[name][c].cast("double" if c in real else "bigint").alias(c) for c in SUMS])
+    each = sums.select("doc_key", F.explode(F.array(*map(row, NAMES))).alias("b")).select("doc_key", "b.*")
+    return sum_scores(each, documents, only_scored=True, run="baseline")

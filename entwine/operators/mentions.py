@@ -11,49 +11,94 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import digits_to_ascii, head_word, stripped
+from . import packed
 from .packed import MARK
 
 EVENT = ["sent_idx", "tok_pos", "part_pos"]
 
 
-def coref_events(tokens: DataFrame, tolerant: bool = False) -> DataFrame:
-    """doc_key, sent_idx, tok_pos, part_pos, kind (singleton, open, close), cluster_id.
+def cell_marks(cell: Column, tolerant: bool = False, patterns: Column | None = None) -> Column:
+    """The marks of a cell as ARRAY<STRUCT<part_pos, part>>.
 
-    Parts are separated by a pipe and must be whole marks; tolerant takes every mark of the cell,
-    whatever stands between them (the operator of packed fields gives the same marks).
+    Parts are separated by a pipe and must be whole marks; tolerant cuts the cell as the operator of packed fields
+    does, by the delimiters given (those inferred for its source), or else by any that can stand between marks.
     """
-    cell = F.col("coref")
-    parts = F.regexp_extract_all(cell, F.lit(rf"({MARK})"), 1) if tolerant else F.transform(F.split(cell, r"\|"), stripped)
-    part = tokens.where(cell.rlike(r"[()]")).select("doc_key", "sent_idx", "tok_pos", F.posexplode(parts).alias("part_pos", "part"))
-    opens, closes = F.col("part").startswith("("), F.col("part").endswith(")")
-    return part.where(F.col("part").rlike(rf"^(?:{MARK})$")).select(
-        "doc_key", *EVENT, F.when(opens & closes, "singleton").when(opens, "open").otherwise("close").alias("kind"),
-        digits_to_ascii(F.regexp_replace("part", "[()]", "")).try_cast("bigint").alias("cluster_id"),
-    )
+    if tolerant:
+        given = patterns if patterns is not None else F.array(*map(F.lit, packed.DELIMITERS.values()))
+        single = F.array(packed.bare(cell))
+        found = F.when(packed.whole(cell), F.filter(single, lambda p: p.rlike(rf"^(?:{MARK})$"))).otherwise(packed.values_of(cell, given))
+        return F.transform(found, lambda p, i: F.struct(i.alias("part_pos"), p.alias("part")))
+    parts = F.transform(F.split(cell, r"\|"), lambda p, i: F.struct(i.alias("part_pos"), stripped(p).alias("part")))
+    return F.filter(parts, lambda p: p["part"].rlike(rf"^(?:{MARK})$"))
+
+
+def _kind(part: Column) -> Column:
+    opens, closes = part.startswith("("), part.endswith(")")
+    return F.when(part.isNull(), None).when(opens & closes, "singleton").when(opens, "open").otherwise("close")
 
 
-def spans(events: DataFrame) -> DataFrame:
+def _number(part: Column) -> Column:
+    return digits_to_ascii(F.regexp_replace(part, "[()]", "")).try_cast("bigint")
+
+
+def coref_events(tokens: DataFrame, tolerant: bool = False) -> DataFrame:
+    """doc_key, sent_idx, tok_pos, part_pos, kind (singleton, open, close), cluster_id of tokens, or of marked sentences."""
+    if "marks" in tokens.columns:
+        part = tokens.select("doc_key", "sent_idx", F.explode("marks").alias("m")).select("doc_key", "sent_idx", "m.*")
+    else:
+        given = F.col("patterns") if "patterns" in tokens.columns else None
+        part = tokens.where(F.col("coref").rlike(r"[()]")).select("doc_key", "sent_idx", "tok_pos", F.explode(cell_marks(F.col("coref"), tolerant, given)).alias("m")).select("doc_key", "sent_idx", "tok_pos", "m.*")
+    return part.select("doc_key", *EVENT, _kind(F.col("part")).alias("kind"), _number(F.col("part")).alias("cluster_id"))
+
+
+def spans(events: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
     """Mentions in the order in which a reader of the file meets their ends; unclosed ones come last.
 
-    doc_key, mention_ord, sent_idx, start_tok, end_sent, end_tok, cluster_id, is_zero.
+    doc_key, mention_ord, sent_idx, start_tok, end_sent, end_tok, cluster_id, is_zero.  beside: columns that rows
+    without a kind carry; such rows pass through, their own mention's columns null.
     """
     # singletons stand in windows of their own, so that opens and closes see only each other
     cluster = W.partitionBy("doc_key", "cluster_id", "__single").orderBy(*EVENT)
     kind, before = F.col("kind"), F.col("__before")
     state = events.withColumn("__single", kind == "singleton").withColumn("__before", F.lag("kind").over(cluster))
-    effective = state.where(F.when(F.col("__single"), True).when(kind == "open", before.isNull() | (before == "close")).otherwise(before == "open"))
+    effective = state.where(F.when(kind.isNull() | F.col("__single"), True).when(kind == "open", before.isNull() | (before == "close")).otherwise(before == "open"))
     # of the opens and closes that count, the one after an open closes it
     here = F.struct(*EVENT)
     following = F.when(F.lead("kind").over(cluster) == "close", F.struct(*[F.lead(c).over(cluster).alias(c) for c in EVENT]))
-    begun = effective.withColumn("__end", F.when(F.col("__single"), here).otherwise(following)).where("kind <> 'close'")
-    every = begun.select("doc_key", "cluster_id", F.col("__end").isNull().alias("__left"), here.alias("__start"), F.coalesce("__end", here).alias("__end"))
-    order = W.partitionBy("doc_key").orderBy("__left", "__end", "cluster_id")
+    begun = effective.withColumn("__end", F.when(F.col("__single"), here).otherwise(following)).where("kind is null or kind <> 'close'")
+    every = begun.select("doc_key", "cluster_id", kind.isNull().alias("__beside"), F.col("__end").isNull().alias("__left"), here.alias("__start"), F.coalesce("__end", here).alias("__end"), *beside)
+    order = W.partitionBy("doc_key").orderBy("__beside", "__left", "__end", "cluster_id")
     return every.select(
         "doc_key", (F.row_number().over(order) - 1).alias("mention_ord"), F.col("__start.sent_idx").alias("sent_idx"), F.col("__start.tok_pos").alias("start_tok"),
-        F.col("__end.sent_idx").alias("end_sent"), F.col("__end.tok_pos").alias("end_tok"), "cluster_id", F.lit(False).alias("is_zero"),
+        F.col("__end.sent_idx").alias("end_sent"), F.col("__end.tok_pos").alias("end_tok"), "cluster_id", F.lit(False).alias("is_zero"), *beside,
     )
 
 
+def sentences_with_mentions(marked: DataFrame) -> DataFrame:
+    """doc_key, sent_idx, words, n_tokens, found: the sound mentions of each marked sentence, as an array without order.
+
+    Every sentence travels as one more row among the events of its document, so words and mentions come
+    together without a join and without reading the tokens twice.
+    """
+    kept = [c for c in ("words", "n_tokens", "idxs", "places") if c in marked.columns]
+    mark = marked.schema["marks"].dataType.elementType
+    each = marked.select("doc_key", "sent_idx", *kept, F.explode(F.concat(F.array(F.lit(None).cast(mark)), F.coalesce("marks", F.array().cast(marked.schema["marks"].dataType)))).alias("m"))
+    own, part = F.col("m").isNull(), F.col("m.part")
+    rows = each.select("doc_key", "sent_idx", "m.tok_pos", "m.part_pos", _kind(part).alias("kind"), _number(part).alias("cluster_id"), *[F.when(own, F.col(c)).alias(c) for c in kept])
+    found = spans(rows, tuple(kept))
+    is_mention = F.col("n_tokens").isNull() & is_sound()
+    m = F.struct("start_tok", "end_tok", "mention_ord", "cluster_id", "is_zero")
+    by = found.groupBy("doc_key", "sent_idx").agg(*[F.first(c, ignorenulls=True).alias(c) for c in kept], F.collect_list(F.when(is_mention, m)).alias("found"))
+    return by.where("n_tokens is not null")
+
+
+def headed_mentions(marked: DataFrame) -> DataFrame:
+    """One row for each position of a mention of marked sentences, with its head word."""
+    rows = sentences_with_mentions(marked).select("doc_key", "sent_idx", "words", F.explode("found").alias("m")).select("doc_key", "sent_idx", "words", "m.*")
+    named = rows.withColumn("head", head_word(F.col("words"), F.col("start_tok"), F.col("end_tok"))).drop("words")
+    return one_cluster_per_key(named)
+
+
 def is_sound() -> Column:
     """Spans within one sentence that don't end before they start; the others are set apart (mention_defects)."""
     return (F.col("sent_idx") == F.col("end_sent")) & (F.col("end_tok") >= F.col("start_tok"))

@@ -92,16 +92,10 @@ def noisy(rate: float, seed: int = 42, key: str = "doc_key") -> Column:
     return F.transform(_all(), change)
 
 
-def head_match(pairs: DataFrame, sentences: DataFrame) -> DataFrame:
-    """numbers by the head words of the pair's mentions: the same head has the same number, by first appearance."""
-
-    mentions = pairs.select("doc_key", "pair_idx", F.posexplode(F.concat("before_mentions", "after_mentions")).alias("nth", "m"))
-    placed = mentions.select("doc_key", "pair_idx", "nth", F.col("m.sent_idx").alias("sent_idx"), F.col("m.start_tok").alias("s"), F.col("m.end_tok").alias("e"))
-    heads = placed.join(sentences.select("doc_key", "sent_idx", "words"), ["doc_key", "sent_idx"])
-    by = heads.groupBy("doc_key", "pair_idx").agg(F.array_sort(F.collect_list(F.struct("nth", head_word(F.col("words"), F.col("s"), F.col("e")).alias("head")))).alias("h"))
-    order = F.array_distinct(F.col("h.head"))
-    by = by.select("doc_key", "pair_idx", F.transform("h.head", lambda h: (F.array_position(order, h) - 1).cast("int")).alias("numbers"))
-    return pairs.join(by, ["doc_key", "pair_idx"], "left").withColumn("numbers", F.coalesce("numbers", F.array().cast("array<int>")))
+def head_match(pairs: DataFrame) -> DataFrame:
+    """numbers by the head words of the pair's mentions (its heads): the same head has the same number, by first appearance."""
+    order = F.array_distinct("heads")
+    return pairs.withColumn("numbers", F.transform("heads", lambda h: (F.array_position(order, h) - 1).cast("int")))
 
 
 def attach(pairs: DataFrame, numbers: Column | str = "numbers") -> DataFrame:

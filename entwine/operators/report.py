@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .score import sided
+
 
 def size_histogram(clusters: DataFrame, largest: int = 10) -> DataFrame:
     """size (one over `largest` stands for all above) and the number of clusters of (doc_key, cluster_id)."""
@@ -29,25 +32,50 @@ def error_analysis(cell: DataFrame, documents: DataFrame, group: str = "lang") -
     Under-merged: a gold cluster of two or more that more than one predicted cluster shares; over-merged: a predicted cluster
     that shares with more than one gold cluster; spurious: with none; perfect: the same positions.
     """
-    gold = cell.where("gold_id is not null").groupBy("doc_key", "gold_id").agg(F.first("gold_size").alias("size"), F.count("pred_id").alias("hits"))
-    pred = cell.where("pred_id is not null").groupBy("doc_key", "pred_id").agg(
-        F.count("gold_id").alias("hits"), F.max((F.col("n") == F.col("gold_size")) & (F.col("n") == F.col("pred_size"))).alias("same")
-    )
     count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
-    g = gold.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n_gold"), count((F.col("size") >= 2) & (F.col("hits") > 1)).alias("under_merged"))
-    p = pred.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n_pred"), count(F.col("hits") > 1).alias("over_merged"), count(F.col("hits") == 0).alias("spurious"), count(F.col("same")).alias("perfect"))
-    every = documents.select("doc_key", group).join(g.join(p, "doc_key", "full").fillna(0), "doc_key")
-    return every.groupBy(group).agg(*[F.sum(c).alias(c) for c in ("n_gold", "n_pred", "perfect", "under_merged", "over_merged", "spurious")])
+    g, p, n = F.col("g_first"), F.col("p_first"), F.col("n")
+    sums = sided(cell).groupBy("doc_key").agg(
+        count(g).alias("n_gold"), count(p).alias("n_pred"), count((n == F.col("g_size")) & (n == F.col("p_size"))).alias("perfect"),
+        count(g & (F.col("g_size") >= 2) & (F.col("g_degree") > 1)).alias("under_merged"),
+        count(p & (F.col("p_degree") > 1)).alias("over_merged"), count(p & (F.col("p_degree") == 0)).alias("spurious"),
+    )
+    return documents.select("doc_key", group).join(sums, "doc_key").groupBy(group).agg(*[F.sum(c).alias(c) for c in ("n_gold", "n_pred", "perfect", "under_merged", "over_merged", "spurious")])
+
+
+def fixed(value: Column, width: int = 0, missing: str = "—") -> Column:
+    """A number with two digits after the point, its exact binary value rounded half to even; null as a dash.
+
+    Spark's own formats round the shortest decimal half up.  For tables of a row for each language or run.
+    """
+
+    @F.pandas_udf("string")
+    def text(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: missing.rjust(width) if v is None or v != v else f"{v:{width}.2f}")
+
+    return text(value.cast("double"))
 
 
 def ablation(scores: DataFrame, run: str = "run", group: str = "lang", value: str = "conll_f", groups: list[str] | None = None) -> DataFrame:
-    """One row for each run, one column for each language; null where a run has no score."""
-    return scores.groupBy(run).pivot(group, groups).agg(F.first(value)) if groups else scores.groupBy(run).pivot(group).agg(F.first(value))
+    """One row for each run, one column for each language that occurs (or of groups), overall last; null where a run has no score."""
+    if groups is None:
+        # one value for each language: a short list
+        groups = sorted((r[0] for r in scores.select(group).distinct().collect()), key=lambda g: (g == "overall", g))
+    return scores.groupBy(run).pivot(group, groups).agg(F.first(value))
+
+
+def ablation_lines(scores: DataFrame, run: str = "run", group: str = "lang", value: str = "conll_f") -> list[str]:
+    """The comparison of runs as lines of fixed width, a dash where a run has no score."""
+    table = ablation(scores, run, group, value)
+    names = [c for c in table.columns if c != run]
+    cells = lambda row, widths: " | ".join(x.ljust(w) for x, w in zip(row, widths))
+    widths = [15] + [9] * len(names)
+    rows = table.orderBy(run).select(run, *[fixed(F.col(f"`{c}`")).alias(c) for c in names]).collect()
+    return [cells(["Instruction", *names], widths), *[cells(list(r), widths) for r in rows]]
 
 
 def language_table(scores: DataFrame, group: str = "lang") -> DataFrame:
     """The lines of the score table in order: languages by name, overall last."""
-    cells = [F.upper(group), *[F.format_string("%.2f", f"{m}_f") for m in ("muc", "b3", "ceafe", "conll")], F.col("num_docs").cast("string")]
+    cells = [F.upper(group), *[fixed(F.col(f"{m}_f")) for m in ("muc", "b3", "ceafe", "conll")], F.coalesce(F.col("num_docs").cast("string"), F.lit("?"))]
     line = F.array_join(F.array(*[F.rpad(c, w, " ") for c, w in zip(cells, (12, 8, 8, 9, 9, 6))]), " | ")
     last = (F.col(group) == "overall").cast("int")
     return scores.select(last.alias("last"), F.col(group), line.alias("line")).orderBy("last", group).select(group, "line")
@@ -55,4 +83,13 @@ def language_table(scores: DataFrame, group: str = "lang") -> DataFrame:
 
 def score_lines(long_scores: DataFrame, group: str = "lang") -> DataFrame:
     """group, metric and its figures in fixed width."""
-    return long_scores.select(group, "metric", F.format_string("%-6s  P=%6.2f  R=%6.2f  F=%6.2f", F.upper("metric"), "p", "r", "f").alias("line"))
+    tag = F.when(F.col("metric") == "conll", "CoNLL").otherwise(F.upper("metric"))
+    line = F.concat(F.lit("  "), F.rpad(tag, 6, " "), *[F.concat(F.lit(f"  {x.upper()}="), fixed(F.col(x), 6)) for x in "prf"])
+    return long_scores.select(group, "metric", line.alias("line"))
+
+
+def score_block(scores: dict, label: str = "") -> list[str]:
+    """The scores of one language (as results_dict has them) as they are printed, with the number of documents."""
+    head = ["", "=" * 50, f"  {label}", "=" * 50] if label else []
+    lines = [f"  {'CoNLL' if m == 'conll' else m.upper():6s}  P={scores[m]['p']:6.2f}  R={scores[m]['r']:6.2f}  F={scores[m]['f']:6.2f}" for m in ("muc", "b3", "ceafe", "conll")]
+    return [*head, *lines, *([f"  Documents evaluated: {scores['num_docs']}"] if "num_docs" in scores else [])]

@@ -8,7 +8,7 @@ denominators over documents, so they add up by language and overall; ratios are
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
@@ -42,33 +42,49 @@ def counted_cells(matched: DataFrame, run: str | None = None) -> DataFrame:
     return n.withColumn("gold_size", size("gold_id")).withColumn("pred_size", size("pred_id"))
 
 
-def document_sums(cell: DataFrame, run: str | None = None) -> DataFrame:
-    """By document the sums of all metrics (_SUMS): windows over its cells and one aggregation, no shuffle of its own."""
+def sided(cell: DataFrame, run: str | None = None) -> DataFrame:
+    """Cells with what their gold (g_) and predicted (p_) cluster is as a whole: one window for each side.
+
+    size; parts: clusters of the other side that share with it, and each position that none has; degree: the
+    sharing clusters; first: one cell of each cluster, so that sums count it once.
+    """
     own = [run] if run else []
     has_gold, has_pred, n = F.col("gold_id").isNotNull(), F.col("pred_id").isNotNull(), F.col("n")
-    both = has_gold & has_pred
-    for c, other, name in (("gold_id", has_pred, "g"), ("pred_id", has_gold, "p")):
-        w = W.partitionBy(*own, "doc_key", c)
-        # parts: clusters of the other side that share with it, and each position that none has
-        cell = cell.withColumn(f"{name}_parts", F.sum(F.when(other, 1).otherwise(n)).over(w)).withColumn(f"{name}_first", F.row_number().over(w.orderBy("gold_id", "pred_id")) == 1)
-        cell = cell.withColumn(f"{name}_degree", F.count(F.when(both, 1)).over(w))
+    for c, other_id, other, name in (("gold_id", "pred_id", has_pred, "g"), ("pred_id", "gold_id", has_gold, "p")):
+        order = W.partitionBy(*own, "doc_key", c).orderBy(other_id)
+        every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        has = F.col(c).isNotNull()
+        cell = cell.withColumns({
+            f"{name}_size": F.when(has, F.sum("n").over(every)), f"{name}_parts": F.sum(F.when(other, 1).otherwise(n)).over(every),
+            f"{name}_degree": F.count(F.when(has & other, 1)).over(every), f"{name}_first": has & (F.row_number().over(order) == 1),
+        })
+    return cell
 
-    def once(name: str, has, value):
-        return F.sum(F.when(has & F.col(f"{name}_first"), value).otherwise(0))
 
-    large = lambda c: F.col(c) >= 2
-    phi = 2 * n / (F.col("gold_size") + F.col("pred_size"))
+def document_sums(cell: DataFrame, run: str | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """By document the sums of all metrics (SUMS): windows over its cells and one aggregation, no shuffle of its own.
+
+    more: further aggregates over the sided cells of a document.
+    """
+    own = [run] if run else []
+    has_gold, has_pred, n = F.col("gold_id").isNotNull(), F.col("pred_id").isNotNull(), F.col("n")
+    both = has_gold & has_pred
+    cell = sided(cell, run)
+    once = lambda name, value: F.sum(F.when(F.col(f"{name}_first"), value).otherwise(0))
+    several = lambda name, value: once(name, F.when(F.col(f"{name}_size") >= 2, value).otherwise(0))
+    phi = 2 * n / (F.col("g_size") + F.col("p_size"))
     alone = both & (F.col("g_degree") == 1) & (F.col("p_degree") == 1)
     sums = cell.groupBy(*own, "doc_key").agg(
-        once("g", has_gold & large("gold_size"), F.col("gold_size") - F.col("g_parts")).alias("muc_r_num"), once("g", has_gold & large("gold_size"), F.col("gold_size") - 1).alias("muc_r_den"),
-        once("p", has_pred & large("pred_size"), F.col("pred_size") - F.col("p_parts")).alias("muc_p_num"), once("p", has_pred & large("pred_size"), F.col("pred_size") - 1).alias("muc_p_den"),
+        several("g", F.col("g_size") - F.col("g_parts")).alias("muc_r_num"), several("g", F.col("g_size") - 1).alias("muc_r_den"),
+        several("p", F.col("p_size") - F.col("p_parts")).alias("muc_p_num"), several("p", F.col("p_size") - 1).alias("muc_p_den"),
         # a gold position that the prediction lacks counts as a cluster of its own
-        F.sum(F.when(both, n * n / F.col("gold_size")).when(has_gold, n / F.col("gold_size")).otherwise(0.0)).alias("b3_r_num"),
-        F.sum(F.when(both, n * n / F.col("pred_size")).when(has_gold, n.cast("double")).otherwise(0.0)).alias("b3_p_num"),
+        F.sum(F.when(both, n * n / F.col("g_size")).when(has_gold, n / F.col("g_size")).otherwise(0.0)).alias("b3_r_num"),
+        F.sum(F.when(both, n * n / F.col("p_size")).when(has_gold, n.cast("double")).otherwise(0.0)).alias("b3_p_num"),
         F.sum(F.when(has_gold, n).otherwise(0)).alias("b3_den"),
         F.sum(F.when(alone, phi).otherwise(0.0)).alias("alone"), F.collect_list(F.when(both & ~alone, F.struct("gold_id", "pred_id", phi.alias("phi")))).alias("edges"),
-        once("g", has_gold, F.lit(1)).alias("n_gold"), once("p", has_pred, F.lit(1)).alias("n_pred"),
+        once("g", F.lit(1)).alias("n_gold"), once("p", F.lit(1)).alias("n_pred"),
         F.sum(F.when(has_gold, n).otherwise(0)).alias("gold_mentions"), F.sum(F.when(has_pred, n).otherwise(0)).alias("pred_mentions"),
+        *[c.alias(name) for name, c in (more or {}).items()],
     )
     return _with_ceafe(sums)
 
@@ -84,13 +100,19 @@ def _with_ceafe(sums: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             at = {name: i for i, name in enumerate(b.schema.names)}
-            best = [alone + best_total([(e["gold_id"], e["pred_id"], e["phi"]) for e in edges]) for alone, edges in zip(b.column(at["alone"]).to_pylist(), b.column(at["edges"]).to_pylist())]
+            lists, alone = b.column(at["edges"]), b.column(at["alone"]).to_numpy(zero_copy_only=False)
+            flat, ends = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).cumsum()
+            gold, pred, phi = (flat.field(i).to_pylist() for i in range(3))
+            best = alone.copy()
+            for i, (first, last) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+                if last > first:
+                    best[i] += best_total(list(zip(gold[first:last], pred[first:last], phi[first:last])))
             yield pa.RecordBatch.from_arrays([*[b.column(at[f.name]) for f in kept], pa.array(best, pa.float64())], names=schema.fieldNames())
 
     return sums.mapInArrow(run, schema)
 
 
-_SUMS = ("muc_r_num", "muc_r_den", "muc_p_num", "muc_p_den", "b3_r_num", "b3_p_num", "b3_den", "ceafe_num", "n_gold", "n_pred", "gold_mentions", "pred_mentions")
+SUMS = ("muc_r_num", "muc_r_den", "muc_p_num", "muc_p_den", "b3_r_num", "b3_p_num", "b3_den", "ceafe_num", "n_gold", "n_pred", "gold_mentions", "pred_mentions")
 
 
 def ratios(sums: DataFrame) -> DataFrame:
@@ -120,24 +142,28 @@ def corpus_scores(gold: DataFrame, pred: DataFrame, documents: DataFrame, group:
 
 
 def cell_scores(cell: DataFrame, documents: DataFrame, group: str = "lang", only_scored: bool = False, run: str | None = None) -> DataFrame:
-    """Sums and percentages of cells, by group and overall.
+    """Sums and percentages of cells, by group and overall (see sum_scores)."""
+    return sum_scores(document_sums(cell, run), documents, group, only_scored, run)
+
+
+def sum_scores(sums: DataFrame, documents: DataFrame, group: str = "lang", only_scored: bool = False, run: str | None = None) -> DataFrame:
+    """Sums and percentages of documents' sums, by group and overall.
 
     Documents without any cluster count in num_docs, unless only_scored; documents that the table
     lacks are in the group `all`.  run: a column of the cells by which scores are kept apart.
     """
     own = [run] if run else []
-    sums = document_sums(cell, run)
     every = documents.select("doc_key", group).join(sums, "doc_key", "right" if only_scored or run else "full")
     every = every.withColumn(group, F.coalesce(group, F.lit("all")))
     total = every.rollup(*own, group)
     levels = [F.grouping(group).alias("__all"), *([F.grouping(run).alias("__runs")] if run else [])]
-    sums_of = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS]
+    sums_of = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS]
     total = total.agg(F.count("doc_key").alias("num_docs"), F.countDistinct(group).alias("__groups"), *levels, *sums_of)
     if run:
         total = total.where("__runs = 0")
     kept = total.where("__all = 0 or __groups > 1").withColumn(group, F.when(F.col("__all") == 1, "overall").otherwise(F.col(group)))
     scored = ratios(kept)
-    return scored.select(*own, group, "num_docs", *_SUMS, *[(F.col(c) * 100).alias(c) for c in SCORES])
+    return scored.select(*own, group, "num_docs", *SUMS, *[(F.col(c) * 100).alias(c) for c in SCORES])
 
 
 def long_scores(scores: DataFrame, group: str = "lang") -> DataFrame:

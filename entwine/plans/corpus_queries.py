@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prompts
 from ..functions.text import clamped, digits_to_ascii, fill_masks, last_tokens, mask_count
-from ..operators import baselines, frames, mentions, merge, predict, report, sampling, score
+from ..operators import baselines, frames, mentions, merge, packed, predict, report, sampling, score
 from ..session import table
 from ..sources import conll, tables
 from .queries import query
@@ -20,13 +21,32 @@ def _tokens(spark, d):
     return tables.placed_tokens(table(spark, d, "tokens"))
 
 
+#: The delimiters of each source, by session and the files that they were inferred from.
+_delimiters: dict[tuple, dict | DataFrame] = {}
+
+
+def _marked(spark, d, tolerant=True):
+    """The corpus's sentences with their marks; cells are cut by the delimiters inferred for their source, once for given files."""
+    t = table(spark, d, "tokens")
+    if tolerant:
+        key = (spark.sparkContext.applicationId, *sorted(t.inputFiles()))
+        if key not in _delimiters:
+            _delimiters[key] = packed.infer(t, "coref", packed.corpus_prefix())
+        t = packed.with_delimiters(t, packed.corpus_prefix(), _delimiters[key])
+    return tables.marked_sentences(tables.placed_tokens(t), tolerant)
+
+
 def _documents(spark, d):
     return tables.keyed_documents(table(spark, d, "conll_documents"), table(spark, d, "language_codes"))
 
 
-def _gold(tokens):
+def _gold(spark, d):
     """One row for each position of a mention, with its head."""
-    return mentions.with_heads(mentions.one_cluster_per_key(mentions.mentions(tokens, tolerant=True)), S(tokens))
+    return mentions.headed_mentions(_marked(spark, d))
+
+
+def _mentions(spark, d, **kw):
+    return mentions.mentions(_marked(spark, d), tolerant=True, **kw)
 
 
 @query("corpus_tokens", select("SELECT * FROM tok", "tok"))
@@ -54,39 +74,39 @@ for _name, _tolerant in (("coref_events_strict", False), ("coref_events", True))
 
     @query(_name, select("SELECT * FROM ev", "ev", strict=not _tolerant))
     def coref_events(spark, d, tolerant=_tolerant):
-        return mentions.coref_events(_tokens(spark, d), tolerant)
+        return mentions.coref_events(_marked(spark, d, tolerant))
 
 
 for _name, _tolerant in (("mentions_strict", False), ("mentions", True)):
 
     @query(_name, select("SELECT * FROM sound", "sound", strict=not _tolerant))
     def mention_rows(spark, d, tolerant=_tolerant):
-        return mentions.mentions(_tokens(spark, d), tolerant)
+        return mentions.mentions(_marked(spark, d, tolerant))
 
 
 @query("span_match", select("SELECT * FROM men", "men"))
 def span_match(spark, d):
-    return mentions.mentions(_tokens(spark, d), tolerant=True, keep_defects=True)
+    return _mentions(spark, d, keep_defects=True)
 
 
 @query("mention_defects", select("SELECT doc_key, count(*) AS n_defects, count(*) FILTER (sent_idx <> end_sent) AS n_cross_sentence FROM men WHERE NOT (sent_idx = end_sent AND end_tok >= start_tok) GROUP BY ALL", "men"))
 def mention_defects(spark, d):
-    return mentions.mention_defects(_tokens(spark, d), tolerant=True)
+    return mentions.mention_defects(_marked(spark, d))
 
 
 @query("dup_key_report", select(f"SELECT {KEY}, count(DISTINCT cluster_id) AS n_clusters, count(*) AS n_mentions FROM sound GROUP BY ALL HAVING count(DISTINCT cluster_id) > 1", "sound"))
 def dup_key_report(spark, d):
-    return mentions.duplicate_keys(mentions.mentions(_tokens(spark, d), tolerant=True))
+    return mentions.duplicate_keys(_mentions(spark, d))
 
 
 @query("head_words", select(f"SELECT {KEY}, mention_ord, cluster_id, is_zero, head FROM headed", "headed"))
 def head_words(spark, d):
-    return _gold(_tokens(spark, d)).select("doc_key", "mention_ord", "sent_idx", "start_tok", "end_tok", "cluster_id", "is_zero", "head")
+    return _gold(spark, d).select("doc_key", "mention_ord", "sent_idx", "start_tok", "end_tok", "cluster_id", "is_zero", "head")
 
 
 @query("gold_clusters", select("SELECT doc_key, cluster_id, count(*) AS size FROM keyed GROUP BY ALL", "keyed"))
 def gold_clusters(spark, d):
-    found = mentions.one_cluster_per_key(mentions.mentions(_tokens(spark, d), tolerant=True))
+    found = mentions.one_cluster_per_key(_mentions(spark, d))
     return mentions.clusters(found).select("doc_key", "cluster_id", F.col("size").cast("bigint").alias("size"))
 
 
@@ -108,14 +128,13 @@ def pairless_docs(spark, d):
 
 @query("outer_mentions", select("SELECT doc_key, sent_idx, start_tok, end_tok, mention_ord, cluster_id FROM taken", "taken"))
 def outer_mentions(spark, d):
-    t = _tokens(spark, d)
-    rows = frames.selected(S(t), mentions.mentions(t, tolerant=True)).select("doc_key", "sent_idx", F.explode("taken").alias("m"))
+    rows = frames.with_taken(mentions.sentences_with_mentions(_marked(spark, d))).select("doc_key", "sent_idx", F.explode("taken").alias("m"))
     return rows.select("doc_key", "sent_idx", F.col("m.s").alias("start_tok"), F.col("m.e").alias("end_tok"), F.col("m.o").alias("mention_ord"), F.col("m.c").alias("cluster_id"))
 
 
 def _pairs(spark, d, **kw):
-    t = _tokens(spark, d)
-    return frames.pairs(S(t), mentions.mentions(t, tolerant=True), **kw)
+    marked = _marked(spark, d)
+    return frames.pairs_of(mentions.sentences_with_mentions(marked), marked, **kw)
 
 
 @query("pair_local_numbers", select("SELECT doc_key, pair_idx, side, sent_idx, start_tok, end_tok, cluster_id, local_no FROM pair_mentions", "pair_mentions"))
@@ -204,8 +223,7 @@ def merge_noisy_32(spark, d):
 
 @query("merge_head", select(_MERGED, "merged", heads=True))
 def merge_head(spark, d):
-    p = _pairs(spark, d)
-    return merge.merge_pairs(predict.attach(predict.head_match(p, S(_tokens(spark, d)))))
+    return merge.merge_pairs(predict.attach(predict.head_match(_pairs(spark, d))))
 
 
 @query("merge_results")
@@ -224,7 +242,7 @@ _BASE = {
 
 def _scorable(spark, d):
     """Gold and documents of the rule baselines: documents with at least two mentions."""
-    return baselines.scorable(_gold(_tokens(spark, d))), _documents(spark, d)
+    return baselines.scorable(_gold(spark, d)), _documents(spark, d)
 
 
 _BASE_SQL = {
@@ -372,7 +390,7 @@ def b3_std_head_match(spark, d):
 
 @query("baselines")
 def all_baselines(spark, d):
-    gold = _gold(_tokens(spark, d))
+    gold = _gold(spark, d)
     s = baselines.evaluate(gold, _documents(spark, d))
     return s.select("baseline", "lang", "num_docs", *[F.round(c, 6).alias(c) for c in _SCORED])
 
@@ -382,7 +400,7 @@ _HIST = "SELECT CAST(least(size, 11) AS INTEGER) AS size, count(*) AS n FROM {}
 
 @query("cluster_size_hist", select(_HIST.format("(SELECT doc_key, cluster_id, count(*) AS size FROM keyed GROUP BY ALL)"), "keyed"))
 def cluster_size_hist(spark, d):
-    return report.size_histogram(mentions.one_cluster_per_key(mentions.mentions(_tokens(spark, d), tolerant=True)))
+    return report.size_histogram(mentions.one_cluster_per_key(_mentions(spark, d)))
 
 
 @query(
@@ -412,14 +430,14 @@ GROUP BY ALL""",
 )
 def error_analysis(spark, d):
     gold, docs = _scorable(spark, d)
-    return report.error_analysis(baselines.cells(gold, "head_match"), docs)
+    return report.error_analysis(baselines.head_cells(gold), docs)
 
 
 @query("ablation_pivot")
 def ablation_pivot(spark, d):
-    gold = _gold(_tokens(spark, d))
+    gold = _gold(spark, d)
     s = baselines.evaluate(gold, _documents(spark, d)).withColumn("conll_f", F.round("conll_f", 4))
-    return report.ablation(s, run="baseline", groups=["bn", "en", "hi", "ta", "und", "overall"])
+    return report.ablation(s, run="baseline")
 
 
 _TABLE = """
@@ -440,7 +458,7 @@ def long_scores(spark, d):
     return s.select("lang", "metric", *[F.round(c, 6).alias(c) for c in "prf"])
 
 
-@query("score_lines", _conll_sql(_CONLL_LONG + "SELECT lang, metric, printf('%-6s  P=%6.2f  R=%6.2f  F=%6.2f', upper(metric), p, r, f) AS line FROM long", "all_one_cluster", "one"))
+@query("score_lines", _conll_sql(_CONLL_LONG + "SELECT lang, metric, printf('  %-6s  P=%6.2f  R=%6.2f  F=%6.2f', CASE metric WHEN 'conll' THEN 'CoNLL' ELSE upper(metric) END, p, r, f) AS line FROM long", "all_one_cluster", "one"))
 def score_lines(spark, d):
     return report.score_lines(score.long_scores(_scores(spark, d, "all_one_cluster")))
 

@@ -142,7 +142,7 @@ def test_whole_run(spark):
     assert e.count() == 9
     scores, merged = pipeline.evaluate(tokens, documents, pipeline.run_inference(e, "gold"))
     assert scores.first()["conll_f"] == pytest.approx(100) and merged.count() == 24
-    heads = pipeline.run_inference(e, lambda p: predict.head_match(p, tables.sentences(tokens)))
+    heads = pipeline.run_inference(e, lambda p: predict.head_match(p))
     assert pipeline.evaluate(tokens, documents, heads)[0].first()["conll_f"] == pytest.approx(100)
     assert pipeline.evaluate(tokens, documents, pipeline.run_inference(e, "singleton"))[0].first()["conll_f"] < 100
     assert {r["baseline"] for r in pipeline.evaluate_baselines(tokens, documents).collect()} == {"all_singletons", "all_one_cluster", "head_match"}
