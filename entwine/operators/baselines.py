@@ -59,24 +59,20 @@ def evaluate(found: DataFrame, documents: DataFrame, least: int = 2) -> DataFram
     each of the N mentions, nothing is linked and a cluster of s has one best partner, 2 / (s + 1); with one
     cluster for all, every link of gold is found, and the largest cluster is the best partner, 2 s / (s + N).
     """
-    head = head_cells(found)
-    gold = lambda value: F.sum(F.when(F.col("g_first"), value).otherwise(0))
-    s = F.col("g_size")
-    sums = document_sums(head, more={"squares": gold(s * s), "halves": gold(2 / (s + 1)), "largest": F.max("g_size")})
-    sums = sums.where(F.col("gold_mentions") >= least)
-    n, g, links = F.col("gold_mentions"), F.col("n_gold"), F.col("muc_r_den")
-    zero = F.lit(0)
+    gold = lambda value: f"sum(case when g_first then {value} else 0 end)"
+    sums = document_sums(head_cells(found), more={"squares": gold("g_size * g_size"), "halves": gold("2 / (g_size + 1)"), "largest": "max(g_size)"})
+    n, g, links = "gold_mentions", "n_gold", "muc_r_den"
     rules = {
-        "head_match": {c: F.col(c) for c in SUMS},
+        "head_match": {c: c for c in SUMS},
         "all_singletons": dict(
-            muc_r_num=zero, muc_r_den=links, muc_p_num=zero, muc_p_den=zero, b3_r_num=g, b3_p_num=n, b3_den=n, ceafe_num=F.col("halves"), n_gold=g, n_pred=n, gold_mentions=n, pred_mentions=n,
+            muc_r_num="0", muc_r_den=links, muc_p_num="0", muc_p_den="0", b3_r_num=g, b3_p_num=n, b3_den=n, ceafe_num="halves", n_gold=g, n_pred=n, gold_mentions=n, pred_mentions=n,
         ),
         "all_one_cluster": dict(
-            muc_r_num=links, muc_r_den=links, muc_p_num=n - g, muc_p_den=n - 1, b3_r_num=n, b3_p_num=F.col("squares") / n, b3_den=n, ceafe_num=2 * F.col("largest") / (F.col("largest") + n),
-            n_gold=g, n_pred=F.lit(1), gold_mentions=n, pred_mentions=n,
+            muc_r_num=links, muc_r_den=links, muc_p_num=f"{n} - {g}", muc_p_den=f"{n} - 1", b3_r_num=n, b3_p_num=f"squares / {n}", b3_den=n, ceafe_num=f"2 * largest / (largest + {n})",
+            n_gold=g, n_pred="1", gold_mentions=n, pred_mentions=n,
         ),
     }
-    real = {"b3_r_num", "b3_p_num", "ceafe_num"}
-    row = lambda name: F.struct(F.lit(name).alias("baseline"), *[rules[name][c].cast("double" if c in real else "bigint").alias(c) for c in SUMS])
-    each = sums.select("doc_key", F.explode(F.array(*map(row, NAMES))).alias("b")).select("doc_key", "b.*")
+    kind = lambda c: "double" if c in ("b3_r_num", "b3_p_num", "ceafe_num") else "bigint"
+    rows = [f"struct('{name}' as baseline, " + ", ".join(f"cast({rules[name][c]} as {kind(c)}) as {c}" for c in SUMS) + ")" for name in NAMES]
+    each = sums.where(f"gold_mentions >= {int(least)}").selectExpr("doc_key", f"explode(array({', '.join(rows)})) as b").selectExpr("doc_key", "b.*")
     return sum_scores(each, documents, only_scored=True, run="baseline")

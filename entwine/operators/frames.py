@@ -56,7 +56,7 @@ def frame_starts(sizes: Column, budget: Column) -> Column:
 
 def _with_starts(sentences: DataFrame, budget: int, halve: bool = True) -> DataFrame:
     """doc_key, s (sentences in order with n_tokens), the budget used and the starts of the frames."""
-    docs = sentences.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "n_tokens"))).alias("s"), F.sum("n_tokens").alias("total"))
+    docs = sentences.groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("sent_idx", "n_tokens"))).alias("s"), F.sum("n_tokens").alias("total"))
     series = F.array(*[F.lit(b) for b in budgets(budget)])
     used = F.coalesce(F.try_element_at(F.filter(series, lambda b: b < F.col("total")), F.lit(1)), F.lit(1)) if halve else F.lit(budget)
     docs = docs.withColumn("budget", F.when(F.size("s") < 2, F.lit(budget)).otherwise(used).cast("int"))
@@ -96,7 +96,7 @@ def outermost(found: Column, n_tokens: Column) -> Column:
         fields = {"s": m["start_tok"], "l": m["start_tok"] - m["end_tok"], "o": m["mention_ord"], "e": m["end_tok"], "c": m["cluster_id"], "z": m["is_zero"]}
         return F.struct(*[v.alias(k) for k, v in fields.items()])
 
-    ordered = F.array_sort(F.transform(found, sortable))
+    ordered = F.sort_array(F.transform(found, sortable))
     none = F.slice(ordered, 1, 0)
     empty = F.struct(F.filter(F.array(none), lambda x: F.lit(False)).alias("parts"), none.alias("last"), F.lit(0).alias("free"))
 
@@ -170,7 +170,7 @@ def pairs_of(rows: DataFrame, sizes: DataFrame, budget: int = BUDGET, skip_empty
     heads = F.transform("taken", lambda m: head_word(F.col("words"), m["s"], m["e"]))
     whole = taken.withColumn("heads", heads).withColumn("masked", labelled({"pieces": F.col("pieces"), "taken": F.col("taken")}, mask)).drop("words", "n_tokens")
     numbered_rows = framed(whole, sizes.select("doc_key", "sent_idx", "n_tokens"), budget).where("n_frames > 1")
-    frame = numbered_rows.groupBy("doc_key", "frame_idx").agg(F.max("n_frames").alias("n_frames"), F.array_sort(F.collect_list(F.struct("sent_idx", "taken", "pieces", "masked", "heads"))).alias("before"))
+    frame = numbered_rows.groupBy("doc_key", "frame_idx").agg(F.max("n_frames").alias("n_frames"), F.sort_array(F.collect_list(F.struct("sent_idx", "taken", "pieces", "masked", "heads"))).alias("before"))
     order = W.partitionBy("doc_key").orderBy("frame_idx")
     pair = frame.withColumn("after", F.lead("before").over(order)).where("frame_idx < n_frames - 1").withColumnRenamed("frame_idx", "pair_idx")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import digits_to_ascii, head_word, stripped
+from ..functions.text import digit_table, head_word, stripped
 from . import packed
 from .packed import MARK
 
@@ -32,13 +32,11 @@ def cell_marks(cell: Column, tolerant: bool = False, patterns: Column | None = N
     return F.filter(parts, lambda p: p["part"].rlike(rf"^(?:{MARK})$"))
 
 
-def _kind(part: Column) -> Column:
-    opens, closes = part.startswith("("), part.endswith(")")
-    return F.when(part.isNull(), None).when(opens & closes, "singleton").when(opens, "open").otherwise("close")
-
-
-def _number(part: Column) -> Column:
-    return digits_to_ascii(F.regexp_replace(part, "[()]", "")).try_cast("bigint")
+def _event(part: str) -> tuple[str, str]:
+    """kind and cluster_id of a mark."""
+    sides = f"case when {part} like '(%)' then 'singleton' when {part} like '(%' then 'open' when {part} is not null then 'close' end as kind"
+    number = f"regexp_replace({part}, '[()]', '')"
+    return sides, f"try_cast(case when {number} rlike '^[0-9]*$' then {number} else translate({number}, '{digit_table()[0]}', '{digit_table()[1]}') end as bigint) as cluster_id"
 
 
 def coref_events(tokens: DataFrame, tolerant: bool = False) -> DataFrame:
@@ -48,7 +46,7 @@ def coref_events(tokens: DataFrame, tolerant: bool = False) -> DataFrame:
     else:
         given = F.col("patterns") if "patterns" in tokens.columns else None
         part = tokens.where(F.col("coref").rlike(r"[()]")).select("doc_key", "sent_idx", "tok_pos", F.explode(cell_marks(F.col("coref"), tolerant, given)).alias("m")).select("doc_key", "sent_idx", "tok_pos", "m.*")
-    return part.select("doc_key", *EVENT, _kind(F.col("part")).alias("kind"), _number(F.col("part")).alias("cluster_id"))
+    return part.selectExpr("doc_key", *EVENT, *_event("part"))
 
 
 def spans(events: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
@@ -58,19 +56,18 @@ def spans(events: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
     without a kind carry; such rows pass through, their own mention's columns null.
     """
     # singletons stand in windows of their own, so that opens and closes see only each other
-    cluster = W.partitionBy("doc_key", "cluster_id", "__single").orderBy(*EVENT)
-    kind, before = F.col("kind"), F.col("__before")
-    state = events.withColumn("__single", kind == "singleton").withColumn("__before", F.lag("kind").over(cluster))
-    effective = state.where(F.when(kind.isNull() | F.col("__single"), True).when(kind == "open", before.isNull() | (before == "close")).otherwise(before == "open"))
+    cluster = f"over (partition by doc_key, cluster_id, kind = 'singleton' order by {', '.join(EVENT)})"
+    effective = events.selectExpr("*", f"lag(kind) {cluster} as __before").where(
+        "kind is null or kind = 'singleton' or case when kind = 'open' then __before is null or __before = 'close' else __before = 'open' end"
+    )
     # of the opens and closes that count, the one after an open closes it
-    here = F.struct(*EVENT)
-    following = F.when(F.lead("kind").over(cluster) == "close", F.struct(*[F.lead(c).over(cluster).alias(c) for c in EVENT]))
-    begun = effective.withColumn("__end", F.when(F.col("__single"), here).otherwise(following)).where("kind is null or kind <> 'close'")
-    every = begun.select("doc_key", "cluster_id", kind.isNull().alias("__beside"), F.col("__end").isNull().alias("__left"), here.alias("__start"), F.coalesce("__end", here).alias("__end"), *beside)
-    order = W.partitionBy("doc_key").orderBy("__beside", "__left", "__end", "cluster_id")
-    return every.select(
-        "doc_key", (F.row_number().over(order) - 1).alias("mention_ord"), F.col("__start.sent_idx").alias("sent_idx"), F.col("__start.tok_pos").alias("start_tok"),
-        F.col("__end.sent_idx").alias("end_sent"), F.col("__end.tok_pos").alias("end_tok"), "cluster_id", F.lit(False).alias("is_zero"), *beside,
+    here = f"struct({', '.join(EVENT)})"
+    following = f"case when lead(kind) {cluster} = 'close' then struct({', '.join(f'lead({c}) {cluster} as {c}' for c in EVENT)}) end"
+    begun = effective.selectExpr("*", f"case when kind = 'singleton' then {here} else {following} end as __end").where("kind is null or kind <> 'close'")
+    every = begun.selectExpr("doc_key", "cluster_id", "kind is null as __beside", "__end is null as __left", f"{here} as __start", f"coalesce(__end, {here}) as __end", *beside)
+    return every.selectExpr(
+        "doc_key", "row_number() over (partition by doc_key order by __beside, __left, __end, cluster_id) - 1 as mention_ord", "__start.sent_idx as sent_idx", "__start.tok_pos as start_tok",
+        "__end.sent_idx as end_sent", "__end.tok_pos as end_tok", "cluster_id", "false as is_zero", *beside,
     )
 
 
@@ -83,8 +80,7 @@ def sentences_with_mentions(marked: DataFrame) -> DataFrame:
     kept = [c for c in ("words", "n_tokens", "idxs", "places") if c in marked.columns]
     mark = marked.schema["marks"].dataType.elementType
     each = marked.select("doc_key", "sent_idx", *kept, F.explode(F.concat(F.array(F.lit(None).cast(mark)), F.coalesce("marks", F.array().cast(marked.schema["marks"].dataType)))).alias("m"))
-    own, part = F.col("m").isNull(), F.col("m.part")
-    rows = each.select("doc_key", "sent_idx", "m.tok_pos", "m.part_pos", _kind(part).alias("kind"), _number(part).alias("cluster_id"), *[F.when(own, F.col(c)).alias(c) for c in kept])
+    rows = each.selectExpr("doc_key", "sent_idx", "m.tok_pos", "m.part_pos", *_event("m.part"), *[f"case when m is null then {c} end as {c}" for c in kept])
     found = spans(rows, tuple(kept))
     is_mention = F.col("n_tokens").isNull() & is_sound()
     m = F.struct("start_tok", "end_tok", "mention_ord", "cluster_id", "is_zero")
@@ -152,4 +148,4 @@ def with_heads(found: DataFrame, sentences: DataFrame) -> DataFrame:
 
 def clusters(found: DataFrame) -> DataFrame:
     """doc_key, cluster_id, size and the positions of each cluster, as a sorted array."""
-    return found.groupBy("doc_key", "cluster_id").agg(F.array_sort(F.collect_set(F.struct("sent_idx", "start_tok", "end_tok"))).alias("positions")).withColumn("size", F.size("positions"))
+    return found.groupBy("doc_key", "cluster_id").agg(F.sort_array(F.collect_set(F.struct("sent_idx", "start_tok", "end_tok"))).alias("positions")).withColumn("size", F.size("positions"))

@@ -59,7 +59,7 @@ def merge_pairs(results: DataFrame, key: str = "doc_key", order: str = "pair_idx
         return F.coalesce(F.transform(side, lambda m: F.struct(m["sent_idx"].alias("s"), m["start_tok"].alias("a"), m["end_tok"].alias("e"), pick(m).alias("n"))), F.array().cast("array<struct<s:int,a:int,e:int,n:int>>"))
 
     rows = results.select(F.col(key).cast("bigint").alias("doc_key"), F.col(order).alias("k"), slim(F.col("before_mentions")).alias("b"), slim(F.col("after_mentions")).alias("f"))
-    docs = rows.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("k", "b", "f"))).alias("pairs"))
+    docs = rows.groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("k", "b", "f"))).alias("pairs"))
 
     def run(batches):
         for batch in batches:

@@ -95,7 +95,7 @@ def inferred_delimiters(scores: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """source and its delimiters' patterns, strong ones first, each kind by score."""
     patterns = F.create_map(*[F.lit(x) for kv in DELIMITERS.items() for x in kv])
     rank = F.struct("weak", (-F.col("score")).alias("s"), "delimiter")
-    used = scores.where(F.col("regularity") >= accept).groupBy("source").agg(F.array_sort(F.collect_list(rank)).alias("o"))
+    used = scores.where(F.col("regularity") >= accept).groupBy("source").agg(F.sort_array(F.collect_list(rank)).alias("o"))
     return used.select("source", F.transform("o", lambda x: F.element_at(patterns, x["delimiter"])).alias("patterns"))
 
 

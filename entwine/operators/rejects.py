@@ -81,7 +81,7 @@ def errors(cells: DataFrame, key: str = "line_id") -> DataFrame:
         .when(F.col("rule") == "null_line", v == "null")
     )
     bad = cells.join(rules, "role").where(F.coalesce(failed, F.lit(True)))
-    return bad.groupBy(key).agg(F.array_sort(F.collect_set("rule")).alias("reasons"), F.array_sort(F.collect_list(F.struct("col", "value"))).alias("bad_cells"))
+    return bad.groupBy(key).agg(F.sort_array(F.collect_set("rule")).alias("reasons"), F.sort_array(F.collect_list(F.struct("col", "value"))).alias("bad_cells"))
 
 
 def split_rows(lines: DataFrame, key: str = "line_id") -> tuple[DataFrame, DataFrame]:

@@ -32,14 +32,12 @@ def error_analysis(cell: DataFrame, documents: DataFrame, group: str = "lang") -
     Under-merged: a gold cluster of two or more that more than one predicted cluster shares; over-merged: a predicted cluster
     that shares with more than one gold cluster; spurious: with none; perfect: the same positions.
     """
-    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
-    g, p, n = F.col("g_first"), F.col("p_first"), F.col("n")
-    sums = sided(cell).groupBy("doc_key").agg(
-        count(g).alias("n_gold"), count(p).alias("n_pred"), count((n == F.col("g_size")) & (n == F.col("p_size"))).alias("perfect"),
-        count(g & (F.col("g_size") >= 2) & (F.col("g_degree") > 1)).alias("under_merged"),
-        count(p & (F.col("p_degree") > 1)).alias("over_merged"), count(p & (F.col("p_degree") == 0)).alias("spurious"),
-    )
-    return documents.select("doc_key", group).join(sums, "doc_key").groupBy(group).agg(*[F.sum(c).alias(c) for c in ("n_gold", "n_pred", "perfect", "under_merged", "over_merged", "spurious")])
+    count = {
+        "n_gold": "g_first", "n_pred": "p_first", "perfect": "n = g_size and n = p_size", "under_merged": "g_first and g_size >= 2 and g_degree > 1",
+        "over_merged": "p_first and p_degree > 1", "spurious": "p_first and p_degree = 0",
+    }
+    sums = sided(cell).groupBy("doc_key").agg(*[F.expr(f"count_if({c}) as {name}") for name, c in count.items()])
+    return documents.select("doc_key", group).join(sums, "doc_key").groupBy(group).agg(*[F.sum(c).alias(c) for c in count])
 
 
 def fixed(value: Column, width: int = 0, missing: str = "—") -> Column:

@@ -8,12 +8,11 @@ denominators over documents, so they add up by language and overall; ratios are
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from ..functions.text import harmonic, ratio
 from .assignment import best_total
 
 KEY = ["doc_key", "sent_idx", "start_tok", "end_tok"]
@@ -48,44 +47,38 @@ def sided(cell: DataFrame, run: str | None = None) -> DataFrame:
     size; parts: clusters of the other side that share with it, and each position that none has; degree: the
     sharing clusters; first: one cell of each cluster, so that sums count it once.
     """
-    own = [run] if run else []
-    has_gold, has_pred, n = F.col("gold_id").isNotNull(), F.col("pred_id").isNotNull(), F.col("n")
-    for c, other_id, other, name in (("gold_id", "pred_id", has_pred, "g"), ("pred_id", "gold_id", has_gold, "p")):
-        order = W.partitionBy(*own, "doc_key", c).orderBy(other_id)
-        every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        has = F.col(c).isNotNull()
-        cell = cell.withColumns({
-            f"{name}_size": F.when(has, F.sum("n").over(every)), f"{name}_parts": F.sum(F.when(other, 1).otherwise(n)).over(every),
-            f"{name}_degree": F.count(F.when(has & other, 1)).over(every), f"{name}_first": has & (F.row_number().over(order) == 1),
-        })
-    return cell
-
-
-def document_sums(cell: DataFrame, run: str | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    own = f"`{run}`, " if run else ""
+    new = []
+    for c, other, name in (("gold_id", "pred_id", "g"), ("pred_id", "gold_id", "p")):
+        order = f"partition by {own}doc_key, {c} order by {other}"
+        every = f"over ({order} rows between unbounded preceding and unbounded following)"
+        new += [
+            f"case when {c} is not null then sum(n) {every} end as {name}_size", f"sum(case when {other} is not null then 1 else n end) {every} as {name}_parts",
+            f"count(case when {c} is not null and {other} is not null then 1 end) {every} as {name}_degree", f"{c} is not null and row_number() over ({order}) = 1 as {name}_first",
+        ]
+    return cell.selectExpr("*", *new)
+
+
+def document_sums(cell: DataFrame, run: str | None = None, more: dict[str, str] | None = None) -> DataFrame:
     """By document the sums of all metrics (SUMS): windows over its cells and one aggregation, no shuffle of its own.
 
-    more: further aggregates over the sided cells of a document.
+    more: further aggregates, as SQL, over the sided cells of a document.
     """
     own = [run] if run else []
-    has_gold, has_pred, n = F.col("gold_id").isNotNull(), F.col("pred_id").isNotNull(), F.col("n")
-    both = has_gold & has_pred
-    cell = sided(cell, run)
-    once = lambda name, value: F.sum(F.when(F.col(f"{name}_first"), value).otherwise(0))
-    several = lambda name, value: once(name, F.when(F.col(f"{name}_size") >= 2, value).otherwise(0))
-    phi = 2 * n / (F.col("g_size") + F.col("p_size"))
-    alone = both & (F.col("g_degree") == 1) & (F.col("p_degree") == 1)
-    sums = cell.groupBy(*own, "doc_key").agg(
-        several("g", F.col("g_size") - F.col("g_parts")).alias("muc_r_num"), several("g", F.col("g_size") - 1).alias("muc_r_den"),
-        several("p", F.col("p_size") - F.col("p_parts")).alias("muc_p_num"), several("p", F.col("p_size") - 1).alias("muc_p_den"),
+    once = lambda side, value: f"sum(case when {side}_first then {value} else 0 end)"
+    several = lambda side, value: f"sum(case when {side}_first and {side}_size >= 2 then {value} else 0 end)"
+    both, phi = "gold_id is not null and pred_id is not null", "2 * n / (g_size + p_size)"
+    alone = f"{both} and g_degree = 1 and p_degree = 1"
+    sums = {
+        "muc_r_num": several("g", "g_size - g_parts"), "muc_r_den": several("g", "g_size - 1"), "muc_p_num": several("p", "p_size - p_parts"), "muc_p_den": several("p", "p_size - 1"),
         # a gold position that the prediction lacks counts as a cluster of its own
-        F.sum(F.when(both, n * n / F.col("g_size")).when(has_gold, n / F.col("g_size")).otherwise(0.0)).alias("b3_r_num"),
-        F.sum(F.when(both, n * n / F.col("p_size")).when(has_gold, n.cast("double")).otherwise(0.0)).alias("b3_p_num"),
-        F.sum(F.when(has_gold, n).otherwise(0)).alias("b3_den"),
-        F.sum(F.when(alone, phi).otherwise(0.0)).alias("alone"), F.collect_list(F.when(both & ~alone, F.struct("gold_id", "pred_id", phi.alias("phi")))).alias("edges"),
-        once("g", F.lit(1)).alias("n_gold"), once("p", F.lit(1)).alias("n_pred"),
-        F.sum(F.when(has_gold, n).otherwise(0)).alias("gold_mentions"), F.sum(F.when(has_pred, n).otherwise(0)).alias("pred_mentions"),
-        *[c.alias(name) for name, c in (more or {}).items()],
-    )
+        "b3_r_num": f"sum(case when {both} then n * n / g_size when gold_id is not null then n / g_size else 0 end)",
+        "b3_p_num": f"sum(case when {both} then n * n / p_size when gold_id is not null then cast(n as double) else 0 end)",
+        "b3_den": "sum(case when gold_id is not null then n else 0 end)",
+        "alone": f"sum(case when {alone} then {phi} else 0 end)", "edges": f"collect_list(case when {both} and not ({alone}) then struct(gold_id, pred_id, {phi} as phi) end)",
+        "n_gold": once("g", 1), "n_pred": once("p", 1), "gold_mentions": "sum(case when gold_id is not null then n else 0 end)", "pred_mentions": "sum(case when pred_id is not null then n else 0 end)",
+    } | (more or {})
+    sums = sided(cell, run).groupBy(*own, "doc_key").agg(*[F.expr(f"{e} as {name}") for name, e in sums.items()])
     return _with_ceafe(sums)
 
 
@@ -117,15 +110,12 @@ SUMS = ("muc_r_num", "muc_r_den", "muc_p_num", "muc_p_den", "b3_r_num", "b3_p_nu
 
 def ratios(sums: DataFrame) -> DataFrame:
     """p, r and f of each metric, and of their mean, from sums."""
-    terms = {
-        "muc": ("muc_p_num", "muc_p_den", "muc_r_num", "muc_r_den"), "b3": ("b3_p_num", "b3_den", "b3_r_num", "b3_den"), "ceafe": ("ceafe_num", "n_pred", "ceafe_num", "n_gold"),
-    }
-    for m, (pn, pd, rn, rd) in terms.items():
-        sums = sums.withColumn(f"{m}_p", ratio(F.col(pn), F.col(pd))).withColumn(f"{m}_r", ratio(F.col(rn), F.col(rd)))
-        sums = sums.withColumn(f"{m}_f", harmonic(F.col(f"{m}_p"), F.col(f"{m}_r")))
-    for x in "prf":
-        sums = sums.withColumn(f"conll_{x}", sum(F.col(f"{m}_{x}") for m in METRICS) / 3)
-    return sums
+    terms = {"muc": ("muc_p_num", "muc_p_den", "muc_r_num", "muc_r_den"), "b3": ("b3_p_num", "b3_den", "b3_r_num", "b3_den"), "ceafe": ("ceafe_num", "n_pred", "ceafe_num", "n_gold")}
+    share = lambda num, den: f"case when {den} > 0 then {num} / {den} else 0.0D end"
+    pr = [f"{share(*terms[m][2 * i : 2 * i + 2])} as {m}_{x}" for m in METRICS for i, x in enumerate("pr")]
+    f = [f"case when {m}_p + {m}_r > 0 then 2 * {m}_p * {m}_r / ({m}_p + {m}_r) else 0.0D end as {m}_f" for m in METRICS]
+    means = [f"({' + '.join(f'{m}_{x}' for m in METRICS)}) / 3 as conll_{x}" for x in "prf"]
+    return sums.selectExpr("*", *pr).selectExpr("*", *f).selectExpr("*", *means)
 
 
 SCORES = [f"{m}_{x}" for m in (*METRICS, "conll") for x in "prf"]
@@ -156,14 +146,14 @@ def sum_scores(sums: DataFrame, documents: DataFrame, group: str = "lang", only_
     every = documents.select("doc_key", group).join(sums, "doc_key", "right" if only_scored or run else "full")
     every = every.withColumn(group, F.coalesce(group, F.lit("all")))
     total = every.rollup(*own, group)
-    levels = [F.grouping(group).alias("__all"), *([F.grouping(run).alias("__runs")] if run else [])]
-    sums_of = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS]
-    total = total.agg(F.count("doc_key").alias("num_docs"), F.countDistinct(group).alias("__groups"), *levels, *sums_of)
+    levels = [f"grouping(`{group}`) as __all", *([f"grouping(`{run}`) as __runs"] if run else [])]
+    every = ["count(doc_key) as num_docs", f"count(distinct `{group}`) as __groups", *levels, *[f"coalesce(sum({c}), 0) as {c}" for c in SUMS]]
+    total = total.agg(*map(F.expr, every))
     if run:
         total = total.where("__runs = 0")
-    kept = total.where("__all = 0 or __groups > 1").withColumn(group, F.when(F.col("__all") == 1, "overall").otherwise(F.col(group)))
-    scored = ratios(kept)
-    return scored.select(*own, group, "num_docs", *SUMS, *[(F.col(c) * 100).alias(c) for c in SCORES])
+    named = [f"`{run}`"] if run else []
+    kept = total.where("__all = 0 or __groups > 1").selectExpr(*named, f"case when __all = 1 then 'overall' else `{group}` end as `{group}`", "num_docs", *SUMS)
+    return ratios(kept).selectExpr(*named, f"`{group}`", "num_docs", *SUMS, *[f"{c} * 100 as {c}" for c in SCORES])
 
 
 def long_scores(scores: DataFrame, group: str = "lang") -> DataFrame:

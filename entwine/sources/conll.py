@@ -157,7 +157,7 @@ def conll_lines(tokens: DataFrame, predicted: DataFrame, documents: DataFrame, p
         F.array(F.struct(F.col("start_tok").alias("tok_pos"), F.concat(F.lit("("), n).alias("mark")), F.struct(F.col("end_tok").alias("tok_pos"), F.concat(n, F.lit(")")).alias("mark")))
     )
     each = spans.select("doc_key", "sent_idx", order.alias("o"), F.explode(marks).alias("m"))
-    cells = each.groupBy("doc_key", "sent_idx", F.col("m.tok_pos").alias("tok_pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "m.mark"))), lambda x: x["mark"]), "|").alias("cell"))
+    cells = each.groupBy("doc_key", "sent_idx", F.col("m.tok_pos").alias("tok_pos")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "m.mark"))), lambda x: x["mark"]), "|").alias("cell"))
     index = F.coalesce("idx", "tok_pos") if "idx" in tokens.columns else F.col("tok_pos")
     token = F.struct("tok_pos", index.cast("string").alias("index"), "text")
     span = F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("start_tok", "end_tok", "cluster_id")])
@@ -165,7 +165,7 @@ def conll_lines(tokens: DataFrame, predicted: DataFrame, documents: DataFrame, p
     t = tokens.select("doc_key", "sent_idx", token.cast(none[0]).alias("t"), F.lit(None).cast(none[1]).alias("m"))
     p = predicted.select("doc_key", "sent_idx", F.lit(None).cast(none[0]).alias("t"), span.alias("m"))
     # a union that is grouped: partitioned by document on both sides, it needs no shuffle
-    sentence = t.unionByName(p).groupBy("doc_key", "sent_idx").agg(F.array_sort(F.collect_list("t")).alias("ts"), F.array_sort(F.collect_list("m")).alias("ms")).where(F.size("ts") > 0)
+    sentence = t.unionByName(p).groupBy("doc_key", "sent_idx").agg(F.sort_array(F.collect_list("t")).alias("ts"), F.sort_array(F.collect_list("m")).alias("ms")).where(F.size("ts") > 0)
     known = F.filter("ms", lambda m: F.array_contains("ts.tok_pos", m["start_tok"].cast("int")) & F.array_contains("ts.tok_pos", m["end_tok"].cast("int")))
 
     def cell(x):
@@ -177,7 +177,7 @@ def conll_lines(tokens: DataFrame, predicted: DataFrame, documents: DataFrame, p
 
     row = F.transform("ts", lambda x: F.concat_ws("\t", x["index"], x["text"], F.lit("_"), F.lit("_"), cell(x)))
     rows = sentence.withColumn("known", known).select("doc_key", "sent_idx", F.concat(row, F.array(F.lit(None).cast("string"))).alias("rows"))
-    docs = rows.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "rows"))).alias("s")).join(documents.select("doc_key", "doc_id"), "doc_key")
+    docs = rows.groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("sent_idx", "rows"))).alias("s")).join(documents.select("doc_key", "doc_id"), "doc_key")
     body = F.transform(F.flatten("s.rows"), lambda r: F.when(r.isNull(), "").otherwise(F.concat("doc_id", F.lit(f"\t{part}\t"), r)))
     lines = F.concat(F.array(F.concat(F.lit("#begin document ("), "doc_id", F.lit(f"); part {part}"))), body, F.array(F.lit("#end document")))
     return docs.select("doc_key", F.posexplode(lines).alias("line_no", "line"))
@@ -186,7 +186,7 @@ def conll_lines(tokens: DataFrame, predicted: DataFrame, documents: DataFrame, p
 def write_conll(lines: DataFrame, documents: DataFrame, path: str, separate: bool = True) -> None:
     """Writes documents as files: separate ones in folders named by key and id (what names can't hold is escaped),
     or, for many documents, as many to a file as a partition has."""
-    text = lines.groupBy("doc_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    text = lines.groupBy("doc_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("value"))
     if not separate:
         text.select("value").write.mode("overwrite").text(path)
         return

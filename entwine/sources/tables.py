@@ -39,7 +39,7 @@ def marked_sentences(tokens: DataFrame, tolerant: bool = False) -> DataFrame:
     """
     cell = cell_marks(F.col("coref"), tolerant, F.col("patterns") if "patterns" in tokens.columns else None)
     one = F.struct("tok_pos", "text", *(["idx"] if "idx" in tokens.columns else []), F.when(F.col("coref").rlike(r"[()]"), cell).alias("cell"))
-    rows = tokens.groupBy("doc_key", "sent_idx").agg(F.array_sort(F.collect_list(one)).alias("t"))
+    rows = tokens.groupBy("doc_key", "sent_idx").agg(F.sort_array(F.collect_list(one)).alias("t"))
     marks = F.flatten(F.transform(F.filter("t", lambda x: x["cell"].isNotNull()), lambda x: F.transform(x["cell"], lambda m: F.struct(x["tok_pos"].alias("tok_pos"), m["part_pos"].alias("part_pos"), m["part"].alias("part")))))
     return rows.select("doc_key", "sent_idx", F.col("t.text").alias("words"), F.size("t").alias("n_tokens"), *([F.col("t.idx").alias("idxs")] if "idx" in tokens.columns else []), F.col("t.tok_pos").alias("places"), marks.alias("marks"))
 
@@ -54,7 +54,7 @@ def keyed_documents(documents: DataFrame, codes: DataFrame) -> DataFrame:
 
 def sentences(tokens: DataFrame) -> DataFrame:
     """doc_key, sent_idx, words ARRAY<STRING> in order, n_tokens."""
-    inner = F.array_sort(F.collect_list(F.struct("tok_pos", "text")))
+    inner = F.sort_array(F.collect_list(F.struct("tok_pos", "text")))
     return tokens.groupBy("doc_key", "sent_idx").agg(inner.alias("__t")).select("doc_key", "sent_idx", F.col("__t.text").alias("words"), F.size("__t").alias("n_tokens"))
 
 
