@@ -116,15 +116,14 @@ def _joined(ch: str) -> bool:
     return unicodedata.category(ch)[0] == "M" or ch in "\u200c\u200d"
 
 
-_PIECES = "item_kind string, item_key bigint, piece_no int, n_pieces int, start int, end int, overlap int, ends_at string, text string, first_part int, last_part int, in_before boolean, in_after boolean"
+_PIECES = "item_kind string, item_key bigint, piece_no int, n_pieces int, start int, end int, overlap int, ends_at string, text string, first_part int, last_part int"
 
 
 def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, slack: int = SLACK, only_oversized: bool = False) -> DataFrame:
     """Pieces of items (item_kind, item_key, parts ARRAY<STRING>: joined by one space they are the text).
 
     Items up to the limit stay in the JVM; only oversized ones go through Python, in a narrow map.
-    first_part and last_part number the parts that a piece touches; in_before and in_after tell on
-    which side of a [MID] sign it lies.
+    first_part and last_part number the parts that a piece touches.
     """
     sized = items.where("parts is not null").withColumn("__text", F.array_join("parts", " "))
     large = sized.where(F.length("__text") > limit).drop("__text")
@@ -137,11 +136,10 @@ def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, sl
                 text = " ".join(parts)
                 ends = np.cumsum([len(p) + 1 for p in parts]) - 1
                 pieces = chunk(text, ends[:-1].tolist() if len(parts) > 1 else None, limit, overlap, slack)
-                middle = text.find("[MID]")
                 done = 0
                 for no, (a, b, how) in enumerate(pieces):
                     first, last = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "left")
-                    rows.append((kind, key, no, len(pieces), a, b, max(0, done - a), how, text[a:b], int(first), int(min(last, len(parts) - 1)), middle < 0 or a < middle, middle < 0 or b > middle + 5))
+                    rows.append((kind, key, no, len(pieces), a, b, max(0, done - a), how, text[a:b], int(first), int(min(last, len(parts) - 1))))
                     done = b
             yield _frame(rows)
 
@@ -149,11 +147,9 @@ def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, sl
     if only_oversized:
         return split
     parts = F.size(F.filter("parts", lambda p: p.isNotNull()))
-    middle = F.instr("__text", "[MID]")
     whole = sized.where(F.length("__text") <= limit).select(
         F.col("item_kind").cast("string").alias("item_kind"), F.col("item_key").cast("bigint").alias("item_key"), F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start"),
         F.length("__text").alias("end"), F.lit(0).alias("overlap"), F.lit("text").alias("ends_at"), F.col("__text").alias("text"), F.lit(0).alias("first_part"), F.greatest(parts - 1, F.lit(0)).alias("last_part"),
-        ((middle == 0) | (middle > 1)).alias("in_before"), ((middle == 0) | (middle + 4 < F.length("__text"))).alias("in_after"),
     )
     return whole.unionByName(split)
 
@@ -172,16 +168,79 @@ def example_items(examples: DataFrame) -> DataFrame:
     return examples.select(F.lit("example").alias("item_kind"), F.col("example_id").cast("bigint").alias("item_key"), F.when(text.isNotNull(), F.array(text)).alias("parts"))
 
 
-def example_pieces(examples: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Pieces of masked_input with the sentence indices of the frames that each piece lies in."""
-    pieces = split_items(example_items(examples), limit, overlap)
-    indices = lambda c: F.from_json(F.col(c).cast("string"), "array<int>")
-    of = examples.select(F.col("example_id").cast("bigint").alias("item_key"), indices("before_sent_indices").alias("__before"), indices("after_sent_indices").alias("__after"))
-    return pieces.join(of, "item_key").select(
-        "item_kind", "item_key", "piece_no", "n_pieces", "start", "end", "overlap", "ends_at", "text",
-        F.when(F.col("in_before"), F.col("__before")).otherwise(F.array().cast("array<int>")).alias("before_sent_indices"),
-        F.when(F.col("in_after"), F.col("__after")).otherwise(F.array().cast("array<int>")).alias("after_sent_indices"),
+_WORD = re.compile(r"\S+")
+#: Words of a masked text that stand for no word of its sentences.
+_NO_WORD = re.compile(r"\[MID\]|</z>[@#](?:MASK|\d+)")
+
+
+def sentence_spans(text: str, counts: list[int] | None) -> list[tuple[int, int]] | None:
+    """Where the sentences of a masked text lie, from the number of words of each; None if the numbers don't fit the text."""
+    words = [m.span() for m in _WORD.finditer(text) if not _NO_WORD.fullmatch(m[0])]
+    if not counts or min(counts) < 0 or sum(counts) != len(words):
+        return None
+    out, done = [], 0
+    for n in counts:
+        out.append((words[done][0], words[done + n - 1][1]) if n else (0, 0))
+        done += n
+    return out
+
+
+def _indices(text: str, a: int, b: int, spans: list[tuple[int, int]] | None, before: list[int], after: list[int]) -> tuple[list[int], list[int]]:
+    """The indices of the sentences that text[a:b] touches, on either side."""
+    if spans is None:  # all of a side that the piece lies in
+        middle = text.find("[MID]")
+        return before if middle < 0 or a < middle else [], after if middle < 0 or b > middle + 5 else []
+    touched = [s < b and e > a for s, e in spans]
+    sides = (before, touched[: len(before)]), (after, touched[len(before) :])
+    return tuple([i for i, yes in zip(side, mask) if yes] for side, mask in sides)
+
+
+_EXAMPLE = "item_kind string, item_key bigint, piece_no int, n_pieces int, start int, end int, overlap int, ends_at string, text string, before_sent_indices array<int>, after_sent_indices array<int>"
+
+
+def example_pieces(examples: DataFrame, documents: DataFrame | None = None, limit: int = LIMIT, overlap: int = OVERLAP, slack: int = SLACK) -> DataFrame:
+    """Pieces of masked_input with the indices of the sentences that each piece touches, in either frame.
+
+    A sentence's place in a masked text follows from its number of words in its document, as marks neither add nor part
+    words.  Numbers of words come by a join on (doc_key, sentence), for oversized examples only.  Where the document is
+    unknown or its words don't fit the text, a piece has all indices of each side that it lies in.  Sentence
+    ends that are known this way are the natural boundaries; else those that the text shows.
+    """
+    parsed = lambda c: F.coalesce(F.from_json(F.col(c).cast("string"), "array<int>"), F.array().cast("array<int>"))
+    kept = examples.select(
+        F.lit("example").alias("item_kind"), F.col("example_id").cast("bigint").alias("item_key"), F.col("masked_input").alias("text"), parsed("before_sent_indices").alias("before_sent_indices"),
+        parsed("after_sent_indices").alias("after_sent_indices"), *([F.col("doc_key").cast("bigint").alias("doc_key"), F.monotonically_increasing_id().alias("__row")] if documents is not None else []),
+    ).where("text is not null")
+    zero = F.lit(0)
+    whole = kept.where(F.length("text") <= limit).select(
+        "item_kind", "item_key", zero.alias("piece_no"), F.lit(1).alias("n_pieces"), zero.alias("start"), F.length("text").alias("end"), zero.alias("overlap"), F.lit("text").alias("ends_at"), "text",
+        "before_sent_indices", "after_sent_indices",
     )
+    large = kept.where(F.length("text") > limit)
+    if documents is None:
+        large = large.withColumn("counts", F.lit(None).cast("array<int>"))
+    else:
+        size = F.size(F.filter(F.split("s", r"(?U)\s+"), lambda w: w != ""))
+        sized = documents.select(F.col("doc_key").cast("bigint").alias("doc_key"), F.posexplode("sentences").alias("i", "s")).select("doc_key", "i", size.alias("n"))
+        wanted = large.select("item_key", "__row", "doc_key", F.posexplode(F.concat("before_sent_indices", "after_sent_indices")).alias("nth", "i"))
+        # a sentence that its document lacks counts as -1, which fits no text
+        counted = wanted.join(sized, ["doc_key", "i"], "left").groupBy("__row", "item_key").agg(F.sort_array(F.collect_list(F.struct("nth", F.coalesce("n", F.lit(-1)).alias("n")))).alias("c"))
+        large = large.drop("doc_key").join(counted.select("__row", "item_key", F.col("c.n").alias("counts")), ["__row", "item_key"], "left")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for key, text, before, after, counts in zip(pdf["item_key"], pdf["text"], pdf["before_sent_indices"], pdf["after_sent_indices"], pdf["counts"]):
+                before, after = [int(i) for i in before], [int(i) for i in after]
+                spans = sentence_spans(text, None if counts is None else [int(n) for n in counts])
+                pieces = chunk(text, sorted({e for _, e in spans if 0 < e < len(text)}) if spans else None, limit, overlap, slack)
+                done = 0
+                for no, (a, b, how) in enumerate(pieces):
+                    rows.append(("example", key, no, len(pieces), a, b, max(0, done - a), how, text[a:b], *_indices(text, a, b, spans, before, after)))
+                    done = b
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _EXAMPLE.split(", ")])
+
+    return whole.unionByName(large.select("item_key", "text", "before_sent_indices", "after_sent_indices", "counts").mapInPandas(run, _EXAMPLE))
 
 
 def found_items(documents: DataFrame, examples: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -39,21 +39,23 @@ def _exact(gap: int, available: int, mirrored: int, width: int, counts: list[int
     if available >> gap & 1:
         return (gap,)
 
-    def pair(total: int) -> tuple[int, int] | None:
+    def pair(total: int, largest: int, taken: int = 0) -> tuple[int, int] | None:
+        """The pair of the largest length up to `largest`; of length `largest` itself, `taken` items are spoken for."""
         # lengths a with total - a available: mirrored has bit width - l for length l
         shift = width - total
         both = available & ((1 << total) - 1) & (mirrored >> shift if shift >= 0 else mirrored << -shift) & ~1
+        both &= (1 << (largest + 1)) - 1
         while both:
             a = both.bit_length() - 1
             b = total - a
             if a < b:
                 return None
-            if a != b or counts[a] > 1:
+            if all(counts[x] - taken * (x == largest) >= (a, b).count(x) for x in (a, b)):
                 return a, b
             both ^= 1 << a
         return None
 
-    if got := pair(gap):
+    if got := pair(gap, gap):
         return got
     rest = available & ((1 << gap) - 1) & ~1
     while rest:
@@ -61,10 +63,8 @@ def _exact(gap: int, available: int, mirrored: int, width: int, counts: list[int
         if 3 * a < gap:
             return None
         rest ^= 1 << a
-        if (got := pair(gap - a)) and max(got) <= a:
-            need = {x: (a, *got).count(x) for x in (a, *got)}
-            if all(counts[x] >= k for x, k in need.items()):
-                return (a, *got)
+        if got := pair(gap - a, a, 1):
+            return (a, *got)
     return None
 
 

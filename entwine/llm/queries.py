@@ -40,13 +40,17 @@ def p4_document_pieces(spark, d):
 
 
 def p4_example_pieces(spark, d):
-    return chunking.example_pieces(table(spark, d, "frame_examples"))
+    return chunking.example_pieces(table(spark, d, "frame_examples"), table(spark, d, "conll_documents"))
 
 
 def p5_token_budget(spark, d):
     return budget.token_budget(table(spark, d, "frame_examples"), table(spark, d, "language_codes"))
 
 
+def p5_two_snapshots(spark, d):
+    return budget.two_snapshots(table(spark, d, "frame_examples"), table(spark, d, "language_codes"))
+
+
 def p7_ids(spark, d):
     return encode.encode_texts(table(spark, d, "documents"))
 
@@ -68,6 +72,6 @@ def p9_repetition(spark, d):
     return shares.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in shares.columns[2:]])
 
 
-_NAMES = ("p1_found p1_report p2_found p2_consistent p4_found p4_document_pieces p4_example_pieces p5_token_budget p7_ids p8_packed p8_fill p9_found p9_repetition").split()
+_NAMES = ("p1_found p1_report p2_found p2_consistent p4_found p4_document_pieces p4_example_pieces p5_token_budget p5_two_snapshots p7_ids p8_packed p8_fill p9_found p9_repetition").split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,5 +1,6 @@
 """Pieces, packing and overlaps: their invariants, exact searches, odd tables."""
 
+import itertools
 import random
 
 import numpy as np
@@ -74,6 +75,50 @@ def test_piece_tables(spark):
     assert chunking.split_items(chunking.document_items(docs.limit(0))).count() == 0
 
 
+def test_indices_of_the_sentences_that_a_piece_touches(spark):
+    """Every word of a masked text names its sentence, so the indices can be read off the pieces."""
+    rng = random.Random(11)
+    sentences = [" ".join(f"s{k}w{i}" for i in range(rng.randint(0 if k == 3 else 1, 60))) for k in range(40)]
+
+    def masked(ks):
+        out = []
+        for k in ks:
+            words = sentences[k].split()
+            out.append(" ".join(f"<m>{w}</m>#MASK" if rng.random() < 0.1 else f"</z>@MASK {w}" if rng.random() < 0.05 else w for w in words))
+        return " ".join(out)
+
+    rows = [(n, 1, masked(range(a, a + 12)) + " [MID]  " + masked(range(a + 12, a + 24)), str(list(range(a, a + 12))), str(list(range(a + 12, a + 24)))) for n, a in enumerate((0, 5, 16))]
+    rows.append((9, 2, "w " * 1500, "[0]", "[1]"))
+    examples = spark.createDataFrame(rows, "example_id long, doc_key long, masked_input string, before_sent_indices string, after_sent_indices string")
+    documents = spark.createDataFrame([(1, sentences)], "doc_key long, sentences array<string>")
+    got = chunking.example_pieces(examples, documents, limit=700, overlap=60, slack=30).collect()
+    assert len(got) > 12
+    for r in got:
+        if r["item_key"] == 9:
+            assert (r["before_sent_indices"], r["after_sent_indices"]) == ([0], [1])
+            continue
+        import re
+
+        # a cut inside a word may show no more than its end, so the whole words tell
+        seen = sorted({int(k) for k in re.findall(r"(?<!\w)s(\d+)w", r["text"])})
+        touched = r["before_sent_indices"] + r["after_sent_indices"]
+        assert set(seen) <= set(touched) and len(touched) - len(seen) <= 2 and touched == sorted(touched)
+
+
+def test_complements_are_found_whenever_there_are_any():
+    rng = random.Random(12)
+    for _ in range(4000):
+        counts = [0] * 65
+        for _ in range(rng.randint(0, 7)):
+            counts[rng.randint(1, 20)] = rng.randint(1, 2)
+        gap = rng.randint(1, 40)
+        available, mirrored = (sum(1 << (size if side else 64 - size) for size, n in enumerate(counts) if n) for side in (1, 0))
+        items = [size for size, n in enumerate(counts) for _ in range(n)]
+        can = any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(items, k))
+        got = packing._exact(gap, available, mirrored, 64, counts)
+        assert bool(got) == can and (not got or sum(got) == gap and all(got.count(x) <= counts[x] for x in got))
+
+
 def test_plans():
     rng = random.Random(4)
     for _ in range(400):

@@ -155,22 +155,40 @@ def test_ledger(spark, tmp_path):
     p, o = n("पास खो"), n("आम")
     h, m = n("the house"), n("the <m>house</m>#MASK")
     assert got == {("a", "hi", "news"): (2, 2 * p, o, 2 * p + o), ("b", "en", "unknown"): (1, h, 0, h), ("b", "en", "x"): (1, m, n("the"), m + n("the"))}
-    assert ledger.encoded == 5
+    assert ledger.encoded() == 5
     # one is removed, one changes its text, one its slice, one is new with a known text
     second = [(1, "a", "hi", "news", "पास खो", "आम"), (3, "b", None, None, "the house", "आम"), (4, "c", "bn", "x", "the <m>house</m>#MASK", "the"), (5, "b", "en", None, "the house", None)]
-    again = cube_of(ledger.update(examples_of(spark, second)))
+    reopened = budget.TokenLedger(spark, str(tmp_path), codes)
+    assert cube_of(reopened.cube()) == got
+    again = cube_of(reopened.update(examples_of(spark, second)))
+    with pytest.raises(RuntimeError):
+        ledger.update(examples_of(spark, second))  # its version is no longer the last
+    ledger = budget.TokenLedger(spark, str(tmp_path), codes)
     assert again == {("a", "hi", "news"): (1, p, o, p + o), ("b", "en", "unknown"): (2, 2 * h, o, 2 * h + o), ("c", "en", "x"): (1, m, n("the"), m + n("the"))}
-    assert ledger.encoded == 0
+    assert ledger.encoded() == 0
     assert cube_of(ledger.update(examples_of(spark, second + second[:1]))) == again
     assert cube_of(ledger.update(examples_of(spark, []))) == {}
     fresh = budget.TokenLedger(spark, str(tmp_path / "new"), codes)
     assert cube_of(fresh.update(examples_of(spark, second))) == again
+    # a text that is new is encoded, and nothing else; another tokenizer counts anew in the same folder
+    more = second + [(7, "b", "en", None, "an unseen house", "आम")]
+    fresh.update(examples_of(spark, more))
+    assert fresh.encoded() == 1
+    other = budget.TokenLedger(spark, str(tmp_path / "new"), codes, tokenizer="byte_bpe_50k")
+    assert cube_of(other.cube()) == {} and sum(r[0] for r in cube_of(other.update(examples_of(spark, more))).values()) == 5
+    assert cube_of(budget.TokenLedger(spark, str(tmp_path / "new"), codes).cube()) == cube_of(fresh.cube())
+    assert cube_of(budget.two_snapshots(examples_of(spark, more), codes)) == cube_of(fresh.cube())
 
 
 def test_languages(spark):
     codes = spark.createDataFrame(CODES, "code string, lang string, name string, script string")
     rows = [("hi-IN", "Deva", "hi"), ("hin", "Deva", "hi"), (" bn\xa0", "Beng", "bn"), ("bn", "Deva", "hi"), ("xx", None, "und"), (None, None, "und"), (None, "Latn", "en"), ("Hindi", None, "hi"), ("en", "Thai", "en")]
     df = spark.createDataFrame(rows, "said string, script string, want string")
-    assert [r[0] for r in df.select(budget.language_code(F.col("said"), F.col("script"), codes)).collect()] == [r[2] for r in rows]
-    assert df.select(budget.language_code(F.col("said"), F.col("script"), codes.limit(0))).first()[0] == "und"
+    named = lambda codes: budget.with_language(df, codes, "said").collect()
+    assert all(r["language"] == r["want"] for r in named(codes)) and len(named(codes)) == len(rows)
+    assert {r["language"] for r in named(codes.limit(0))} == {"und"}
+    # however many spellings there are, none is lost
+    many = spark.createDataFrame([(f"Spelling {i}", "hi", "Hindi", "Deva") for i in range(1500)] + [("bn", "bn", "Bengali", "Beng")], "code string, lang string, name string, script string")
+    said = spark.createDataFrame([(f"spelling {i}", None) for i in range(1500)], "said string, script string")
+    assert {r["language"] for r in budget.with_language(said, many, "said").collect()} == {"hi"}
     assert budget.dominant_scripts(pa.array(["पास <m>", "the", None, "", "123", "ক the"])).to_pylist() == ["Deva", "Latn", None, None, None, "Latn"]
