@@ -201,24 +201,51 @@ def damaged(rng, words, rate):
     return out
 
 
-@pytest.mark.parametrize("vocabulary", [30, 400])
-def test_overlaps_like_an_exact_search(spark, vocabulary):
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 41, 100, 333])
+def test_segments_are_enough_and_do_not_overlap(n):
+    rng = np.random.default_rng(n)
+    for share in (0.52, 0.6, 0.75, 0.9, 1.0):
+        words = rng.integers(1, 9, n)
+        sketch = overlap.Sketch(rng.integers(0, 100, (2, 64)))
+        start, length, least = overlap.cut_segments(n, sketch.estimates(words), share, 3)
+        covered = [p for a, k in zip(start, length) for p in range(a, a + k)]
+        assert len(covered) == len(set(covered)) and max(covered) < n
+        assert len(start) == overlap.unmatched(n, share) + least and 1 <= least <= 3
+
+
+def test_frequent_words_lie_together():
+    """Pairs of frequent words are joined in segments of four, rare words stand alone."""
+    words = np.array([1, 2, 1, 2] * 10 + list(range(100, 140)))
+    counters = np.zeros((2, 1 << 16), np.int64)
+    for length in (1, 2):
+        codes = overlap.run_codes(np.array([1, 2, 1]), length)
+        for row, at in enumerate(overlap.Sketch.places(codes, 1 << 16)):
+            counters[row][at] = 1000
+    start, length, _ = overlap.cut_segments(80, overlap.Sketch(counters).estimates(words))
+    assert {int(k) for a, k in zip(start, length) if a < 40} == {4} and 1 in length
+
+
+@pytest.mark.parametrize("vocabulary, least, share", [(30, 40, 0.75), (400, 40, 0.75), (6, 2, 0.55), (12, 3, 0.9)])
+def test_overlaps_like_an_exact_search(spark, vocabulary, least, share):
     rng = random.Random(vocabulary)
     docs, splits = {}, {}
     for k in range(120):
-        base = rng.choice(list(docs.values())) if docs and rng.random() < 0.6 else [f"w{rng.randint(0, vocabulary)}" for _ in range(rng.randint(30, 90))]
+        base = rng.choice(list(docs.values())) if docs and rng.random() < 0.6 else [f"w{rng.randint(0, vocabulary)}" for _ in range(rng.randint(30, 90) if least > 9 else rng.randint(1, 9))]
         docs[k] = damaged(rng, base, rng.choice([0, 0, 0.1, 0.25, 0.4]))
         splits[k] = rng.choice(["train", "train", "test", "val", "development", "other", None])
     want = set()
     for a in docs:
         for b in docs:
-            if splits[a] == "train" and splits[b] in ("test", "val", "development") and min(len(docs[a]), len(docs[b])) >= 40 and lcs(docs[a], docs[b]) >= 0.75 * max(len(docs[a]), len(docs[b])):
-                want.add((min(a, b), max(a, b)))
+            if splits[a] == "train" and splits[b] in ("test", "val", "development") and min(len(docs[a]), len(docs[b])) >= least and lcs(docs[a], docs[b]) >= overlap.least_common(len(docs[a]), len(docs[b]), share):
+                want.add((a, b))
     t, d = corpus(spark, docs, splits)
-    got = [tuple(r) for r in overlap.found_pairs(t.repartition(3), d).collect()]
+    got = [(r["train_key"], r["eval_key"]) for r in overlap.cross_split_overlaps(t.repartition(3), d, least, share).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
-    report = overlap.overlap_report(t, d).agg(F.sum("n_pairs"), F.sum("n_documents")).first()
-    assert tuple(report) == (len(want), sum(s in ("test", "val", "development") for s in splits.values()))
+    if least == overlap.MIN_WORDS:
+        assert {tuple(r) for r in overlap.found_pairs(t, d).collect()} == {(min(p), max(p)) for p in want}
+        report = overlap.overlap_report(t, d).agg(F.sum("n_pairs"), F.sum("n_documents"), F.sum("n_overlapping"), F.sum("n_exact_pairs")).first()
+        exact = sum(docs[a] == docs[b] for a, b in want)
+        assert tuple(report) == (len(want), sum(s in ("test", "val", "development") for s in splits.values()), len({b for _, b in want}), exact)
 
 
 def test_overlaps_of_odd_tables(spark):
@@ -227,7 +254,7 @@ def test_overlaps_of_odd_tables(spark):
     docs = {1: words, 2: disguised, 3: words[:39], 4: words, 5: ["same"] * 3000, 6: ["same"] * 2500, 7: [None] * 50}
     splits = {1: "train", 2: "test", 3: "test", 4: "train", 5: "train", 6: "val", 7: "test"}
     t, d = corpus(spark, docs, splits)
-    late = t.where("doc_key = 1 and tok_pos = 0").withColumn("text", F.lit(None).cast("string"))
+    late = t.where("doc_key = 1 and tok_pos = 0").withColumn("text", F.lit("other")).withColumn("token_id", F.col("token_id") + 10**9)
     lost = t.where("doc_key = 1").withColumn("doc_key", F.lit(None).cast("long"))
     placeless = t.where("doc_key = 1").withColumn("sent_idx", F.lit(None).cast("int"))
     every = t.unionByName(t.where("doc_key = 1")).unionByName(late).unionByName(lost).unionByName(placeless)
@@ -243,7 +270,7 @@ def test_a_hot_group_of_copies(spark):
     docs = {k: near.get(k, words) for k in range(90)}
     splits = {k: "train" if k % 4 else "test" for k in docs}
     t, d = corpus(spark, docs, splits)
-    got = {(r["train_key"], r["eval_key"]): r["common"] for r in overlap.cross_split_overlaps(t, d, hot=3).collect()}
+    got = {(r["train_key"], r["eval_key"]): r["common"] for r in overlap.cross_split_overlaps(t, d, hot=3, block=4).collect()}
     n_test = sum(s == "test" for s in splits.values())
     assert len(got) == n_test * (90 - n_test)
     assert all(n == lcs(docs[a], docs[b]) for (a, b), n in list(got.items())[::97])
