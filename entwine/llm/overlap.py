@@ -4,11 +4,16 @@ A case is a training and an evaluation document, both of at least MIN_WORDS word
 subsequence of words has at least SHARE of the words of the longer one.
 
 Segment join.  An evaluation text of n words and a partner leave at most k = floor(2 n (1 - SHARE)) words
-unmatched in all, whatever the partner's length.  The text is cut into k + HITS segments.  An unmatched word
-on either side destroys at most one segment, so at least HITS of them stand in every partner, as they are, at a
-place no further away than the unmatched words allow.  As the bound holds for any cut, the cut follows the frequencies: pairs
-of words at first; the frequent pairs lie together in segments of four, and as many rare ones are parted into single
-words.  Where fewer segments are needed than there are, the most frequent ones are left out.
+unmatched in all, whatever the partner's length, and at most d = floor(n (1 - SHARE)) of them are the text's own.  The text is
+cut into segments.  An unmatched word on either side destroys at most one segment, but one in the partner can only
+part a segment of several words: so of k + HITS segments of any lengths at least HITS stand in every partner, as
+they are, at a place no further away than the unmatched words allow, and so do HITS of d + HITS segments of one word.
+Either bound holds for any cut, so the cut follows the frequencies, and of two cuts the cheaper is taken:
+
+* pairs of words, of which the frequent ones lie together in segments of four and as many rare ones are parted into
+  single words (a text of words that are frequent alone but rare together);
+* the d + HITS rarest words alone, and what lies between them in segments that need not be looked up (a text with
+  rare words, or of phrases that the whole corpus shares).
 
 Training texts look up their substrings of these lengths (1, 2 and 4 words).  They send only those that some
 evaluation text of a fitting length probes, so a small evaluation set makes a small join, however large
@@ -231,14 +236,26 @@ def _band(n: np.ndarray | int, share: float):
 
 def unmatched(n: int, share: float = SHARE) -> int:
     """Words that a text of n and any partner leave unmatched in all, at most."""
-    return int(math.floor(2 * n * (1 - share) + 1e-9))
+    return math.floor(round(2 * n * (1 - share), 9))
 
 
 def cut_segments(n: int, estimates: dict[int, np.ndarray], share: float = SHARE, hits: int = HITS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Where the segments of a text of n words begin, how long they are, and how many of them every partner holds.
+    """Where the segments to look up of a text of n words begin, how long they are, and how many of them every partner holds.
 
-    k + hits segments of 1, 2 or 4 words that don't overlap, frequent words together; k = unmatched(n).
+    The cheaper of two cuts, by the training texts that hold its segments.
     """
+    alone = n - math.ceil(round(share * n, 9))
+    few = max(1, min(hits, n - alone))
+    rare = np.argsort(estimates[1], kind="stable")[: alone + few]
+    start, length, least = _cut_in_pairs(n, estimates, share, hits)
+    cost = sum(int(estimates[size][start[length == size]].sum()) for size in LENGTHS)
+    if int(estimates[1][rare].sum()) <= cost:
+        return rare, np.ones(len(rare), np.int64), few
+    return start, length, least
+
+
+def _cut_in_pairs(n: int, estimates: dict[int, np.ndarray], share: float, hits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """k + hits segments of 1, 2 or 4 words that don't overlap, frequent words together; k = unmatched(n)."""
     k = unmatched(n, share)
     least = max(1, min(hits, n - k))
     wanted = k + least
@@ -345,7 +362,7 @@ def _probes(classes: DataFrame, sketch, size: int, share: float, hits: int) -> n
 
 def _training_rows(classes: DataFrame, sketch, probes, share: float, hot: int) -> DataFrame:
     """A row for each distinct substring of each training text that an evaluation text of a fitting length probes."""
-    names = ["word", "band", "salt", "t", "tn", "tlo", "thi"]
+    names = ["word", "band", "salt", "t", "tn", "tc", "tlo", "thi"]
 
     def run(batches):
         wanted = np.unpackbits(probes.value).astype(bool)
@@ -372,13 +389,13 @@ def _training_rows(classes: DataFrame, sketch, probes, share: float, hot: int) -
                 first = np.flatnonzero(np.append(True, (np.diff(o) != 0) | (np.diff(c) != 0)))
                 last = np.append(first[1:], len(order)) - 1
                 here = o[first]
-                parts.append((c[first], band[here], rep[here] % _salts(estimates[length][order[first]], hot), rep[here], size[here], order[first] - begins[here], order[last] - begins[here]))
+                parts.append((c[first], band[here], rep[here] % _salts(estimates[length][order[first]], hot), rep[here], size[here], last - first + 1, order[first] - begins[here], order[last] - begins[here]))
             if parts:
                 columns = [np.concatenate(x) for x in zip(*parts)]
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 3]
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype()), t) for x, t in zip(columns, types)], names=names)
 
-    return classes.where("train").select("rep", "words").mapInArrow(run, "word bigint, band int, salt int, t bigint, tn int, tlo int, thi int")
+    return classes.where("train").select("rep", "words").mapInArrow(run, "word bigint, band int, salt int, t bigint, tn int, tc int, tlo int, thi int")
 
 
 def _candidates(e: DataFrame, t: DataFrame, share: float) -> DataFrame:
@@ -389,7 +406,7 @@ def _candidates(e: DataFrame, t: DataFrame, share: float) -> DataFrame:
         & (F.col("tlo") - F.col("ehi") <= F.col("tn") - least)
         & (F.col("elo") - F.col("thi") <= F.col("en") - least)
     )
-    return e.join(t, ["word", "band", "salt"]).where(allowed).groupBy("e", "t").agg(F.sum("ec").alias("survived"), F.max("least").alias("least")).where("survived >= least").select("e", "t")
+    return e.join(t, ["word", "band", "salt"]).where(allowed).groupBy("e", "t").agg(F.sum(F.least("ec", "tc")).alias("survived"), F.max("least").alias("least")).where("survived >= least").select("e", "t")
 
 
 def common_in_order(a: np.ndarray, b: np.ndarray, least: int) -> int:

@@ -207,10 +207,12 @@ def test_segments_are_enough_and_do_not_overlap(n):
     for share in (0.52, 0.6, 0.75, 0.9, 1.0):
         words = rng.integers(1, 9, n)
         sketch = overlap.Sketch(rng.integers(0, 100, (2, 64)))
-        start, length, least = overlap.cut_segments(n, sketch.estimates(words), share, 3)
-        covered = [p for a, k in zip(start, length) for p in range(a, a + k)]
-        assert len(covered) == len(set(covered)) and max(covered) < n
-        assert len(start) == overlap.unmatched(n, share) + least and 1 <= least <= 3
+        for cut in (overlap.cut_segments(n, sketch.estimates(words), share, 3), overlap._cut_in_pairs(n, sketch.estimates(words), share, 3)):
+            start, length, least = cut
+            covered = [p for a, k in zip(start, length) for p in range(a, a + k)]
+            assert len(covered) == len(set(covered)) and max(covered) < n and 1 <= least <= 3
+            own = n - overlap.least_common(n, n, share)
+            assert len(start) == (own if set(length) == {1} and len(start) < overlap.unmatched(n, share) + least else overlap.unmatched(n, share)) + least
 
 
 def test_frequent_words_lie_together():
@@ -222,7 +224,16 @@ def test_frequent_words_lie_together():
         for row, at in enumerate(overlap.Sketch.places(codes, 1 << 16)):
             counters[row][at] = 1000
     start, length, _ = overlap.cut_segments(80, overlap.Sketch(counters).estimates(words))
+    assert {int(k) for a, k in zip(start, length) if a < 40} <= {4} and 1 in length
+    start, length, _ = overlap._cut_in_pairs(80, overlap.Sketch(counters).estimates(words), 0.75, 3)
     assert {int(k) for a, k in zip(start, length) if a < 40} == {4} and 1 in length
+    # a text of nothing but frequent words, which are rare in pairs
+    counters[:] = 0
+    code = overlap.run_codes(np.arange(80), 1)
+    for row, at in enumerate(overlap.Sketch.places(code, 1 << 16)):
+        counters[row][at] = 1000
+    start, length, _ = overlap.cut_segments(80, overlap.Sketch(counters).estimates(np.arange(80)))
+    assert 2 in length
 
 
 @pytest.mark.parametrize("vocabulary, least, share", [(30, 40, 0.75), (400, 40, 0.75), (6, 2, 0.55), (12, 3, 0.9)])
