@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .confusables import resolve_memo
+from .confusables import unicode_data
 
 MIN_WORDS = 40
 SHARE = 0.75
@@ -82,14 +82,14 @@ def word_code(form: str) -> int:
 _codes: dict[str, int] = {}
 
 
-def _code(text: str | None) -> int:
+def _code(text: str | None, known) -> int:
     if text is None:
         return 0
     got = _codes.get(text)
     if got is None:
         if len(_codes) > 400_000:
             _codes.clear()
-        got = word_code(resolve_memo(text)[0])
+        got = word_code(known.remembered(text)[0])
         if len(text) < 200:
             _codes[text] = got
     return got
@@ -112,7 +112,10 @@ def word_sequences(tokens: DataFrame, documents: DataFrame) -> DataFrame:
     ).where("doc_key is not null")
     ordered = rows.where("sent_idx >= 0").unionByName(marks).repartition("doc_key").sortWithinPartitions("doc_key", "sent_idx", "tok_pos", F.col("at").asc_nulls_last(), F.col("id").asc_nulls_last(), "text")
 
+    shared = unicode_data(tokens.sparkSession)
+
     def run(batches):
+        known = shared.value
         held: pa.Table | None = None
         for b in batches:
             t = pa.Table.from_batches([b.select(["doc_key", "sent_idx", "tok_pos", "text"])])
@@ -122,19 +125,19 @@ def word_sequences(tokens: DataFrame, documents: DataFrame) -> DataFrame:
                 continue
             last = int(np.searchsorted(keys, keys[-1], "left"))
             if last:
-                yield _sequences(held.slice(0, last))
+                yield _sequences(held.slice(0, last), known)
                 held = held.slice(last)
         if held is not None and held.num_rows:
-            yield _sequences(held)
+            yield _sequences(held, known)
 
     return ordered.mapInArrow(run, _WORDS_SCHEMA)
 
 
-def _sequences(t: pa.Table) -> pa.RecordBatch:
+def _sequences(t: pa.Table, known) -> pa.RecordBatch:
     key, sent, pos = (t.column(c).to_numpy() for c in ("doc_key", "sent_idx", "tok_pos"))
     text = t.column("text").combine_chunks()
     coded = pc.dictionary_encode(text)
-    codes = np.array([_code(x) for x in coded.dictionary.to_pylist()] + [0], np.int64)
+    codes = np.array([_code(x, known) for x in coded.dictionary.to_pylist()] + [0], np.int64)
     code = codes[pc.fill_null(coded.indices, len(codes) - 1).to_numpy()]
     starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
     ends = np.append(starts[1:], len(key))

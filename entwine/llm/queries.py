@@ -27,7 +27,7 @@ def p2_found(spark, d):
 
 def p2_consistent(spark, d):
     """Every token with its consistent form and what was found in it."""
-    rows = confusables.consistent_text(table(spark, d, "tokens").select("token_id", "text"))
+    rows = confusables.consistent_tokens(*_both(spark, d), table(spark, d, "language_codes"))
     return rows.select("token_id", "consistent", F.array_join("issues", ",").alias("issues"))
 
 

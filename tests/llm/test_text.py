@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from entwine.llm import budget, confusables, encode, repetition
 
+pytestmark = pytest.mark.usefixtures("spark")
+
 FORMS = [
+    ("ɑpple", "apple"), ("ᴀbc", "abc"), ("Ⓐbc", "Abc"), ("ℋello", "Hello"), ("ⅷ", "viii"), ("①", "1"), ("Ｔシャツ", "Tシャツ"), ("Тシャツ", "Tシャツ"), ("µm", "μm"), ("ﺍﺏ", "اب"),
     ("Ｈｏｕｓｅ", "House"), ("１２３", "123"), ("wén", "wén"), ("ज़ूर", "ज़ूर"), ("কো", "কো"), ("லொ", "லொ"), ("का​", "का"), ("f​o", "fo"), ("फि\xadक्ष", "फिक्ष"),
     ("\xa0का　", "का"), ("अाम", "आम"), ("দু:খ", "দুঃখ"), ("प्रात:", "प्रातः"), ("hеavy", "heavy"), ("Карoвеха", "Каровеха"), ("sοme", "some"), ("‌।", "।"), ("शाम﻿\xa0", "शाम"),
     ("क‍ष", "कष"), ("क्‍‍ष", "क्‍ष"), ("a　b", "a b"), ("​", ""), (" Ситраван", "Ситраван"), ("lоѕt", "lost"), ("ﬁsh", "fish"), ("𝐇ouse", "House"),
@@ -26,6 +29,23 @@ def test_forms(text, form):
     assert confusables.resolve(form)[0] == form
 
 
+def test_words_of_several_scripts():
+    """Writing systems of several scripts are no mix; a mix that no script can hold keeps its main script."""
+    assert confusables.resolve("東京タワーへ")[1] == 0 and confusables.resolve("한국漢字")[1] == 0
+    assert confusables.resolve("μm")[0] == confusables.resolve("µm")[0] and confusables.resolve("Tシャツ")[1] & confusables.MIXED
+    assert confusables.resolve("соре") == ("соре", confusables.WHOLE_SCRIPT)
+    assert confusables.resolve("соре", "Latn") == ("cope", confusables.WHOLE_SCRIPT) and confusables.resolve("соре", "Deva")[0] == "соре"
+    assert confusables.resolve("осаж", "Latn") == ("осаж", 0)
+
+
+def test_tokens_in_the_script_of_their_document(spark):
+    t = spark.createDataFrame([(1, 1, "соре"), (2, 2, "соре"), (3, 9, "соре"), (4, None, "соре"), (5, 1, "дом"), (6, 1, None), (7, 2, "Ｔ")], "token_id long, doc_key long, text string")
+    d = spark.createDataFrame([(1, "EN "), (2, "ru"), (3, None)], "doc_key long, language string")
+    c = spark.createDataFrame([("en", "en", "English", "Latn"), ("ru", "ru", "Russian", "Cyrl")], "code string, lang string, name string, script string")
+    got = {r["token_id"]: r["consistent"] for r in confusables.consistent_tokens(t, d, c).collect()}
+    assert got == {1: "cope", 2: "соре", 3: "соре", 4: "соре", 5: "дом", 6: None, 7: "T"}
+
+
 @pytest.mark.parametrize("text", KEPT)
 def test_kept(text):
     got, issues = confusables.resolve(text)
@@ -33,7 +53,7 @@ def test_kept(text):
 
 
 def test_mixed_words_without_a_spelling_are_reported():
-    assert confusables.resolve("abж")[1] & confusables.UNRESOLVED
+    assert confusables.resolve("zж")[1] & confusables.UNRESOLVED
     assert confusables.resolve("оса")[1] == confusables.WHOLE_SCRIPT and confusables.resolve("осаж")[1] == 0
 
 
@@ -51,7 +71,7 @@ def test_tokens_table(spark):
     df = spark.createDataFrame(rows, "token_id long, text string, consistent string, issues int")
     got = {r["token_id"]: r for r in confusables.consistent_text(df).collect()}
     assert [got[i]["consistent"] for i in range(len(FORMS))] == [f for _, f in FORMS]
-    assert got[100]["consistent"] is None and got[100]["issues"] == [] and got[0]["issues"] == ["width"]
+    assert got[100]["consistent"] is None and got[100]["issues"] == [] and got[[t for t, _ in FORMS].index("１２３")]["issues"] == ["width"]
     assert sorted(r[0] for r in confusables.found_tokens(df).collect()) == list(range(len(FORMS)))
     assert confusables.found_tokens(df.limit(0)).count() == 0
 
