@@ -21,8 +21,8 @@ the training set is.  Candidates with HITS surviving segments are verified, firs
 then by dynamic programming over the band of positions that the tolerance permits.  No candidate is capped.
 
 How frequent a segment is tells a count-min sketch of training texts, of two rows; which are probed, a table of
-bits.  Both are sized from the corpus's words up to a bound (12 and 6 MB collected, 4 MB each broadcast); beyond it
-estimates are coarser, which costs time and changes no result.  Segments of very many training texts are spread over salts.
+bits.  Both are sized from the corpus's words up to a bound (2 and 4 MB broadcast; each cell that isn't empty is collected
+once, in 8 and 12 bytes); beyond it estimates are coarser, which costs time and changes no result.  Segments of very many training texts are spread over salts.
 
 Exact copies form one class before the join, so a hot group of copies costs one row; pairs of copies
 are expanded at the end from the membership table, in salted blocks, as the required result is one row for each pair.
@@ -55,7 +55,7 @@ EVALUATION = ("development", "dev", "val", "validation", "valid", "test", "eval"
 #: Lengths of segments in words.
 LENGTHS = (1, 2, 4)
 #: Counters of one row of the sketch, and bits of the table of probed segments: least and most.
-COUNTERS = 1 << 15, 1 << 19
+COUNTERS = 1 << 15, 1 << 18
 PROBES = 1 << 19, 1 << 25
 #: Training texts of one hot segment that one task joins; beyond it the segment is spread over salts, SALTS at most.
 HOT = 4_000
@@ -203,6 +203,21 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
 
 
+def _collected(cells: DataFrame, size: int, kind: type) -> np.ndarray:
+    """An array of a size from rows (place int, value); the driver gets them as a few byte strings."""
+    width = np.dtype(kind)
+
+    def packed(batches):
+        for b in batches:
+            columns = [b.column(0).to_numpy().astype(np.int32), b.column(1).to_numpy().astype(width)]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=["places", "values"])
+
+    out = np.zeros(size, width)
+    for r in cells.mapInArrow(packed, "places binary, values binary").toLocalIterator():
+        out[np.frombuffer(r["places"], np.int32)] = np.frombuffer(r["values"], width)
+    return out
+
+
 def _sketch(classes: DataFrame, size: int) -> Sketch:
     """Counts of the words and pairs of words of training texts: a table of a bounded size, whatever the corpus."""
 
@@ -222,10 +237,8 @@ def _sketch(classes: DataFrame, size: int) -> Sketch:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["counter", "texts"])
 
-    got = classes.where("train").select("words").mapInArrow(run, "counter int, texts bigint").groupBy("counter").agg(F.least(F.sum("texts"), F.lit(2**31 - 1)).cast("int").alias("texts")).toPandas()
-    out = np.zeros(2 * size, np.int32)
-    out[got["counter"].to_numpy(np.int64)] = got["texts"].to_numpy(np.int32)
-    return Sketch(out.reshape(2, size))
+    counted = classes.where("train").select("words").mapInArrow(run, "counter int, texts bigint").groupBy("counter").agg(F.least(F.sum("texts"), F.lit(2**31 - 1)).cast("int").alias("texts"))
+    return Sketch(_collected(counted, 2 * size, np.int32).reshape(2, size))
 
 
 def _values(words: pa.ListScalar) -> np.ndarray:
@@ -357,10 +370,8 @@ def _probes(classes: DataFrame, sketch, size: int, share: float, hits: int) -> n
         at = np.flatnonzero(blocks)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(blocks[at])], names=["block", "bits"])
 
-    got = classes.where("evaluation").select("words").mapInArrow(run, "block int, bits bigint").groupBy("block").agg(F.bit_or("bits").alias("bits")).toPandas()
-    blocks = np.zeros(size // 64, np.int64)
-    blocks[got["block"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return blocks.view(np.uint8)
+    marked = classes.where("evaluation").select("words").mapInArrow(run, "block int, bits bigint").groupBy("block").agg(F.bit_or("bits").alias("bits"))
+    return _collected(marked, size // 64, np.int64).view(np.uint8)
 
 
 def _training_rows(classes: DataFrame, sketch, probes, share: float, hot: int) -> DataFrame:
@@ -466,7 +477,7 @@ def _linked_classes(tokens: DataFrame, documents: DataFrame, min_words: int, sha
     classes = cut(classes.withColumn("train", F.col("n_train") > 0).withColumn("evaluation", F.col("n_evaluation") > 0), "overlap-classes")
     sizes = classes.agg(*[F.coalesce(F.sum(F.when(F.col(c), F.size("words"))), F.lit(0)).alias(c) for c in ("train", "evaluation")]).first()
     share_out = spark.sparkContext.broadcast
-    sketch = share_out(_sketch(classes, _sized(sizes["train"] // 2, COUNTERS)))
+    sketch = share_out(_sketch(classes, _sized(sizes["train"] // 4, COUNTERS)))
     probes = share_out(_probes(classes, sketch, _sized(sizes["evaluation"] * 24, PROBES), share, hits))
     pairs = _candidates(_evaluation_rows(classes, sketch, share, hits, hot), _training_rows(classes, sketch, probes, share, hot), share)
     words = classes.select("rep", "words")
