@@ -213,7 +213,7 @@ def _collected(cells: DataFrame, size: int, kind: type) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=["places", "values"])
 
     out = np.zeros(size, width)
-    for r in cells.mapInArrow(packed, "places binary, values binary").toLocalIterator():
+    for r in cells.mapInArrow(packed, "places binary, values binary").collect():  # at most 12 bytes a cell
         out[np.frombuffer(r["places"], np.int32)] = np.frombuffer(r["values"], width)
     return out
 
