@@ -105,9 +105,9 @@ def _json(df: DataFrame, c: str) -> Column:
 RECORD = ("doc_id", "language", "instruction", "input", "output", "before_mentions", "after_mentions", "before_sent_indices", "after_sent_indices")
 
 
-def example_records(examples: DataFrame) -> DataFrame:
-    """Examples as records: masked_input becomes input, nested fields become JSON texts."""
-    key = [c for c in ("example_id",) if c in examples.columns]
+def example_records(examples: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Examples as records: masked_input becomes input, nested fields become JSON texts; more: columns that stay as they are."""
+    key = [c for c in ("example_id", *(more or [])) if c in examples.columns]
     return examples.select(*key, "doc_id", "language", "instruction", F.col("masked_input").alias("input"), "output", *[_json(examples, c).alias(c) for c in RECORD[5:]])
 
 

@@ -41,7 +41,7 @@ AROUND = r"[\s\p{Cf}\"'“”‘’\[\]]*"
 #: What holds the place of no value.
 NOTHING = r"[-*_]?"
 #: The share of regular cuts from which on a candidate is a delimiter of its source.
-ACCEPT = 0.5
+ACCEPT = 0.2
 
 Shape = Callable[[Column], Column] | None
 

@@ -44,7 +44,7 @@ def controlled(decoder: Decoder, prompt: str, masked: str, largest: int = LARGES
     for piece in pieces[1:]:
         digits = ""
         for _ in range(DIGITS):
-            token = decoder.next_token()
+            token = decoder.next_token().strip()
             if not token[:1].isdigit():
                 break
             digits += token
@@ -54,6 +54,62 @@ def controlled(decoder: Decoder, prompt: str, masked: str, largest: int = LARGES
     return out
 
 
+class TokenDecoder:
+    """A Decoder of a tokenizer and a model: ids are what the model sees, the text is what the protocol sees.
+
+    encode and decode are the tokenizer's; following(ids) gives the model's most likely next id.  A prompt over longest
+    tokens (the model's length less the digits of one number) loses its beginning, so that the latest context is kept.
+    A following that keeps its own cache of ids seen sees each text as the last one with more at its end.
+    """
+
+    def __init__(self, encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], following: Callable[[list[int]], int], longest: int = 4096 - DIGITS):
+        self.encode, self.decode, self.following, self.longest = encode, decode, following, longest
+        self.ids: list[int] = []
+        self.offered: int | None = None
+
+    def start(self, prompt: str) -> None:
+        self.ids, self.offered = list(self.encode(prompt))[-self.longest :], None
+
+    def extend(self, text: str) -> None:
+        # a token that was offered and is no digit was never taken
+        if self.offered is not None and not self.decode([self.offered]).strip()[:1].isdigit():
+            self.offered = None
+        self._take()
+        self.ids += self.encode(text)
+
+    def next_token(self) -> str:
+        self._take()
+        self.offered = int(self.following(self.ids))
+        return self.decode([self.offered])
+
+    def _take(self) -> None:
+        if self.offered is not None:
+            self.ids.append(self.offered)
+            self.offered = None
+
+
+def causal_model(path: str, longest: int = 4096) -> Callable[[], TokenDecoder]:
+    """A factory for model_numbers: a causal language model and its tokenizer in a local folder, by the transformers package where it is installed."""
+
+    def factory() -> TokenDecoder:
+        import torch
+        from transformers import AutoModelForCausalLM, AutoTokenizer
+
+        tokenizer, model = AutoTokenizer.from_pretrained(path), AutoModelForCausalLM.from_pretrained(path).eval()
+        held: dict = {"ids": [], "cache": None}
+
+        def following(ids: list[int]) -> int:
+            kept = held["ids"] if ids[: len(held["ids"])] == held["ids"] and len(ids) > len(held["ids"]) else []
+            with torch.no_grad():
+                out = model(input_ids=torch.tensor([ids[len(kept) :]]), past_key_values=held["cache"] if kept else None, use_cache=True)
+            held["ids"], held["cache"] = list(ids), out.past_key_values
+            return int(out.logits[0, -1].argmax())
+
+        return TokenDecoder(lambda text: tokenizer.encode(text, add_special_tokens=False), lambda ids: tokenizer.decode(ids, skip_special_tokens=True), following, longest - DIGITS)
+
+    return factory
+
+
 def model_numbers(pairs: DataFrame, factory: Callable[[], Decoder], prompt: Callable[[str, str], str] | None = None, largest: int = LARGEST) -> DataFrame:
     """pairs (with instruction and masked_input) and numbers ARRAY<INT> by a model, partition by partition."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name != "numbers") + ", numbers array<int>"

@@ -10,22 +10,27 @@ a null line is a rejected row ("null_line"); n_cols null or under 4 rejects the
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import digits_to_ascii
 from .packed import MARK
 
-# The rules, by the role of a cell.  A cell fails a rule if it doesn't match the pattern.
-RULES = (
-    ("index", "index_not_a_number", r"(?U)^\s*\p{Nd}+\s*$"),
-    ("index", "index_over_int", None),
-    ("coref", "coref_invalid", "cell"),
-    ("row", "wrong_column_count", None),
-    ("row", "broken_quoting", None),
-    ("row", "no_layout", None),
-    ("row", "null_line", None),
-)
+class Rule(NamedTuple):
+    """One row of the rule table: cells of a role fail it by its name.
+
+    kind: "match", the value must match the pattern; "under", the whole number that it is must not be over the argument (a
+    value that is none fails other rules); "is", the value is the argument.
+    """
+
+    role: str
+    rule: str
+    kind: str
+    argument: str
+
+
 _FIELD = r'(?:"(?:[^"]++|"")*+"|[^"\t]*+)'
 QUOTED_LINE = rf"^{_FIELD}(?:\t{_FIELD})*+$"
 _SEPARATORS = r"\s|｜;,、/\\&+\"'“”‘’\[\]"
@@ -34,6 +39,17 @@ COREF_CELL = (
     rf"(?U)^[{_SEPARATORS}]*+(?:(?:{MARK}|(?<![^{_SEPARATORS}])[-*_](?![^{_SEPARATORS}]))[{_SEPARATORS}]*+)*+$"
 )
 
+# The rules, by the role of a cell.
+RULES = (
+    Rule("index", "index_not_a_number", "match", r"(?U)^\s*\p{Nd}+\s*$"),
+    Rule("index", "index_over_int", "under", "2147483647"),
+    Rule("coref", "coref_invalid", "match", COREF_CELL),
+    Rule("row", "wrong_column_count", "is", "count"),
+    Rule("row", "broken_quoting", "is", "quoting"),
+    Rule("row", "no_layout", "is", "layout"),
+    Rule("row", "null_line", "is", "null"),
+)
+
 
 def cells_of(line: Column) -> Column:
     """The cells of a line whose quoting is whole."""
@@ -64,29 +80,29 @@ def parsed_cells(lines: DataFrame, key: str = "line_id") -> DataFrame:
     return rows.select(key, F.explode(F.concat(row, cells)).alias("c")).select(key, "c.col", "c.role", "c.value")
 
 
-def errors(cells: DataFrame, key: str = "line_id") -> DataFrame:
+def _fails(rules: tuple[Rule, ...]) -> Column:
+    """Whether a value fails the rule that stands beside it (kind, argument); a value that can't be judged fails."""
+    v, argument = F.col("value"), F.col("argument")
+    # a pattern is compiled once where it is a literal, so each of the table's patterns has a branch of its own
+    unmatched = F.lit(True)
+    for pattern in sorted({r.argument for r in rules if r.kind == "match"}):
+        unmatched = F.when(argument == pattern, ~v.rlike(pattern)).otherwise(unmatched)
+    digits = F.regexp_replace(digits_to_ascii(F.regexp_replace(v, r"(?U)^\s+|\s+$", "")), "^0+(?=.)", "")
+    longer = (F.length(digits) > F.length(argument)) | ((F.length(digits) == F.length(argument)) & (digits > argument))
+    over = F.when(digits.rlike("^[0-9]+$"), longer).otherwise(F.lit(False))
+    return F.coalesce(F.when(F.col("kind") == "match", unmatched).when(F.col("kind") == "under", over).when(F.col("kind") == "is", v == argument), F.lit(True))
+
+
+def errors(cells: DataFrame, key: str = "line_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """key, reasons ARRAY<STRING>, cells ARRAY<STRUCT>: every failed rule of each row that fails one."""
-    spark = cells.sparkSession
-    rules = F.broadcast(spark.createDataFrame([(role, name) for role, name, _ in RULES], "role string, rule string"))
-    v = F.col("value")
-    number = F.regexp_replace(digits_to_ascii(F.regexp_replace(v, r"(?U)^\s+|\s+$", "")), "^0+(?=.)", "")
-    is_number = v.rlike(RULES[0][2])
-    failed = (
-        F.when(F.col("rule") == "index_not_a_number", ~is_number)
-        .when(F.col("rule") == "index_over_int", is_number & ((F.length(number) > 10) | (F.coalesce(number.try_cast("bigint"), F.lit(0)) > 2147483647)))
-        .when(F.col("rule") == "coref_invalid", ~v.rlike(COREF_CELL))
-        .when(F.col("rule") == "wrong_column_count", v == "count")
-        .when(F.col("rule") == "broken_quoting", v == "quoting")
-        .when(F.col("rule") == "no_layout", v == "layout")
-        .when(F.col("rule") == "null_line", v == "null")
-    )
-    bad = cells.join(rules, "role").where(F.coalesce(failed, F.lit(True)))
+    table = F.broadcast(cells.sparkSession.createDataFrame(list(rules), "role string, rule string, kind string, argument string"))  # as long as the argument given
+    bad = cells.join(table, "role").where(_fails(rules))
     return bad.groupBy(key).agg(F.sort_array(F.collect_set("rule")).alias("reasons"), F.sort_array(F.collect_list(F.struct("col", "value"))).alias("bad_cells"))
 
 
-def split_rows(lines: DataFrame, key: str = "line_id") -> tuple[DataFrame, DataFrame]:
+def split_rows(lines: DataFrame, key: str = "line_id", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """The valid rows as tokens (key, doc_id, part_no, idx, text, coref), and the rejected with their reasons."""
-    bad = errors(parsed_cells(lines, key), key)
+    bad = errors(parsed_cells(lines, key), key, rules)
     rows = token_rows(lines)
     good = rows.join(bad.select(key), key, "left_anti").withColumn("__cells", cells_of(F.col("__line")))
     cell = lambda i: F.get("__cells", i)

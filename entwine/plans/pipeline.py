@@ -25,15 +25,15 @@ def load_split(spark: SparkSession, config: Config, split: str, languages: list[
 
 def examples(tokens: DataFrame, documents: DataFrame, config: Config = Config(), tolerant: bool = False, skip_empty: bool = True) -> DataFrame:
     """Examples of all documents, with their instruction."""
-    found = mentions.mentions(tokens, tolerant)
-    pairs = frames.pairs(tables.sentences(tokens), found, config.max_tokens_per_frame, skip_empty, config.min_mentions_per_example)
+    marked = tables.marked_sentences(tokens, tolerant)
+    pairs = frames.pairs_of(mentions.sentences_with_mentions(marked), marked, config.max_tokens_per_frame, skip_empty, config.min_mentions_per_example)
     named = pairs.join(documents.select("doc_key", "doc_id", F.col("lang").alias("language")), "doc_key")
     return named.withColumn("instruction", instruction(config.instruction_id, F.col("language")))
 
 
 def gold_clusters(tokens: DataFrame, tolerant: bool = False) -> DataFrame:
     """One row for each position of a mention, with its head word."""
-    return mentions.with_heads(mentions.one_cluster_per_key(mentions.mentions(tokens, tolerant)), tables.sentences(tokens))
+    return mentions.headed_mentions(tables.marked_sentences(tokens, tolerant))
 
 
 def run_inference(pairs: DataFrame, predictor: str | Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -52,3 +52,12 @@ def evaluate(tokens: DataFrame, documents: DataFrame, results: DataFrame, tolera
 
 def evaluate_baselines(tokens: DataFrame, documents: DataFrame, tolerant: bool = False) -> DataFrame:
     return baselines.evaluate(gold_clusters(tokens, tolerant), documents)
+
+
+def saved_results(examples: DataFrame, documents: DataFrame, predictor: str | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results of saved examples.  Examples that don't say which document they are of get that of their doc_id, if one document has it."""
+    one = documents.groupBy("doc_id").agg(F.min("doc_key").alias("__key"), F.count(F.lit(1)).alias("n")).where("n = 1").select("doc_id", "__key")
+    known = documents.select(F.col("doc_key"), F.lit(True).alias("__known"))
+    placed = examples.join(known, "doc_key", "left").join(one, "doc_id", "left")
+    placed = placed.withColumn("doc_key", F.when(F.col("__known"), F.col("doc_key")).otherwise(F.coalesce("__key", "doc_key"))).drop("__known", "__key")
+    return run_inference(placed, predictor)

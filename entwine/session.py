@@ -38,10 +38,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def files(spark: SparkSession, path: str):
+    """Hadoop's path and the file system that it lies on."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's, or, where none is set, one made for this process."""
+    """The shared folder for cut lineage: the cluster's; on one machine, where none is set, one made for this process."""
     path = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="entwine-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set(CHECKPOINT_DIR, path)
@@ -49,10 +57,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one; it goes when this process ends, where the process can reach it."""
+    """A new folder in the shared one, on any file system; it goes when this application ends."""
     path = f"{shared_dir(spark)}/entwine/{name}-{uuid.uuid4().hex}"
-    if path.startswith(("/", "file:")):
-        atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    p, fs = files(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
     return path
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import digits_to_ascii, stripped
+from ..session import files
 
 #: Lines that one task numbers together.
 CHUNK = 1 << 18
@@ -74,21 +75,35 @@ def first_delivery(lines: DataFrame, file: str = "file_name", key: str = "line_i
     return lines.withColumn("__nth", nth).where("__nth = 1").select(F.col(file).alias("file"), "line_no", "raw")
 
 
-def read_lines(spark: SparkSession, path: str, recursive: bool = False, name_holds: tuple[str, ...] = (), streaming: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, recursive: bool = False, name_holds: tuple[str, ...] = (), streaming: bool = False, skip_failing: bool = True) -> DataFrame:
     """file, line_no, raw of the annotation files of a folder; a missing folder has none.
 
-    name_holds: parts of which a file's name must hold one; files are chosen before they are read.
+    name_holds: parts of which a file's name must hold one; files are chosen before they are read.  skip_failing:
+    files that can't be read are left out (unread_files names them); otherwise the read fails.
     """
     if not _exists(spark, path):
         return spark.createDataFrame([], SCHEMA)
-    reader = (spark.readStream if streaming else spark.read).option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*conll").option("ignoreCorruptFiles", "true").option("wholetext", "true")
-    files = reader.schema("value string").format("text").load(path) if streaming else reader.text(path, wholetext=True)
-    name = F.col("_metadata.file_name")
-    wanted = name.endswith(SUFFIXES[0]) | name.endswith(SUFFIXES[1])
-    if name_holds:
-        wanted = wanted & _any([name.contains(x) for x in name_holds])
+    reader = (spark.readStream if streaming else spark.read).option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*conll").option("ignoreCorruptFiles", str(skip_failing).lower()).option("wholetext", "true")
+    texts = reader.schema("value string").format("text").load(path) if streaming else reader.text(path, wholetext=True)
+    wanted = _wanted(F.col("_metadata.file_name"), name_holds)
     lines = F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")
-    return files.where(wanted).select(F.col("_metadata.file_path").alias("file"), F.posexplode(lines).alias("line_no", "raw"))
+    return texts.where(wanted).select(F.col("_metadata.file_path").alias("file"), F.posexplode(lines).alias("line_no", "raw"))
+
+
+def _wanted(name: Column, name_holds: tuple[str, ...]) -> Column:
+    wanted = name.endswith(SUFFIXES[0]) | name.endswith(SUFFIXES[1])
+    return wanted & _any([name.contains(x) for x in name_holds]) if name_holds else wanted
+
+
+def unread_files(spark: SparkSession, path: str, recursive: bool = False, name_holds: tuple[str, ...] = ()) -> DataFrame:
+    """file: the annotation files of a folder that can't be read; every one that can has a line at least."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "file string")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*conll").load(path)
+    listed = listed.select(F.col("path").alias("file")).where(_wanted(F.regexp_extract("file", r"([^/]*)$", 1), name_holds))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    read = read_lines(spark, path, recursive, name_holds).select(plain(F.col("file")).alias("__file")).distinct()
+    return listed.join(read, plain(F.col("file")) == F.col("__file"), "left_anti")
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -99,9 +114,8 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p, fs = files(spark, path)
+    return fs.exists(p)
 
 
 def read_corpus(spark: SparkSession, root: str, corpus: str, split: str, language: str, fall_back: bool = False) -> DataFrame:
@@ -146,18 +160,6 @@ def conll_lines(tokens: DataFrame, predicted: DataFrame, documents: DataFrame, p
 
     A span whose first or last token doesn't exist is left out; marks of one token follow each other in reading order of their spans.
     """
-    known = tokens.select("doc_key", "sent_idx", F.col("tok_pos").alias("at"))
-    spans = predicted.select("doc_key", "sent_idx", "start_tok", "end_tok", "cluster_id")
-    for c in ("start_tok", "end_tok"):
-        spans = spans.join(known.withColumnRenamed("at", c), ["doc_key", "sent_idx", c], "left_semi")
-    one = F.col("start_tok") == F.col("end_tok")
-    n = F.col("cluster_id").cast("string")
-    order = F.struct("start_tok", F.col("end_tok"), "cluster_id")
-    marks = F.when(one, F.array(F.struct(F.col("start_tok").alias("tok_pos"), F.concat(F.lit("("), n, F.lit(")")).alias("mark")))).otherwise(
-        F.array(F.struct(F.col("start_tok").alias("tok_pos"), F.concat(F.lit("("), n).alias("mark")), F.struct(F.col("end_tok").alias("tok_pos"), F.concat(n, F.lit(")")).alias("mark")))
-    )
-    each = spans.select("doc_key", "sent_idx", order.alias("o"), F.explode(marks).alias("m"))
-    cells = each.groupBy("doc_key", "sent_idx", F.col("m.tok_pos").alias("tok_pos")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "m.mark"))), lambda x: x["mark"]), "|").alias("cell"))
     index = F.coalesce("idx", "tok_pos") if "idx" in tokens.columns else F.col("tok_pos")
     token = F.struct("tok_pos", index.cast("string").alias("index"), "text")
     span = F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("start_tok", "end_tok", "cluster_id")])
@@ -177,15 +179,22 @@ def conll_lines(tokens: DataFrame, predicted: DataFrame, documents: DataFrame, p
 
     row = F.transform("ts", lambda x: F.concat_ws("\t", x["index"], x["text"], F.lit("_"), F.lit("_"), cell(x)))
     rows = sentence.withColumn("known", known).select("doc_key", "sent_idx", F.concat(row, F.array(F.lit(None).cast("string"))).alias("rows"))
-    docs = rows.groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("sent_idx", "rows"))).alias("s")).join(documents.select("doc_key", "doc_id"), "doc_key")
-    body = F.transform(F.flatten("s.rows"), lambda r: F.when(r.isNull(), "").otherwise(F.concat("doc_id", F.lit(f"\t{part}\t"), r)))
-    lines = F.concat(F.array(F.concat(F.lit("#begin document ("), "doc_id", F.lit(f"); part {part}"))), body, F.array(F.lit("#end document")))
-    return docs.select("doc_key", F.posexplode(lines).alias("line_no", "line"))
-
-
-def write_conll(lines: DataFrame, documents: DataFrame, path: str, separate: bool = True) -> None:
-    """Writes documents as files: separate ones in folders named by key and id (what names can't hold is escaped),
-    or, for many documents, as many to a file as a partition has."""
+    # each sentence knows how many lines stand before it, so no row holds a document
+    order = W.partitionBy("doc_key").orderBy("sent_idx")
+    done = F.coalesce(F.sum(F.size("rows")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1
+    placed = rows.select("doc_key", "rows", done.alias("done"), (F.row_number().over(order) == 1).alias("first"), F.lead("sent_idx").over(order).isNull().alias("final"))
+    placed = placed.join(documents.select("doc_key", "doc_id"), "doc_key")
+    none = F.array().cast("array<string>")
+    begin = F.when(F.col("first"), F.array(F.concat(F.lit("#begin document ("), "doc_id", F.lit(f"); part {part}")))).otherwise(none)
+    end = F.when(F.col("final"), F.array(F.lit("#end document"))).otherwise(none)
+    body = F.transform("rows", lambda r: F.when(r.isNull(), "").otherwise(F.concat("doc_id", F.lit(f"\t{part}\t"), r)))
+    each = placed.select("doc_key", F.when(F.col("first"), 0).otherwise(F.col("done")).alias("at"), F.posexplode(F.concat(begin, body, end)).alias("i", "line"))
+    return each.select("doc_key", (F.col("at") + F.col("i")).cast("int").alias("line_no"), "line")
+
+
+def write_conll(lines: DataFrame, documents: DataFrame, path: str, separate: bool = False) -> None:
+    """Writes documents as files, as many to a file as a partition has; or separate ones in folders named by key and id
+    (what names can't hold is escaped), for few documents."""
     text = lines.groupBy("doc_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("value"))
     if not separate:
         text.select("value").write.mode("overwrite").text(path)

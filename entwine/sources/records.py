@@ -10,25 +10,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prompts import RECORD, example_records
+from ..session import files
 
 MENTIONS = "array<struct<sent_idx:int,start_tok:int,end_tok:int,cluster_id:bigint,local_no:int,is_zero:boolean>>"
 RECORD_SCHEMA = ", ".join(f"{c} string" for c in RECORD)
+#: Beside the fields of a record: what tells its document and its place there.
+ORDER = {"doc_key": "bigint", "pair_idx": "int", "follows": "int"}
 SCORE_METRICS = ("muc", "b3", "ceafe", "conll")
 
 
 def write_examples(examples: DataFrame, path: str) -> None:
-    """One JSON object a line with the fields of RECORD, texts in their own letters."""
-    example_records(examples).select(*RECORD).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """One JSON object a line with the fields of RECORD, texts in their own letters; then what tells a pair's document and order, if known."""
+    more = [c for c in ORDER if c in examples.columns]
+    example_records(examples, more).select(*RECORD, *more).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
     """Examples of JSON lines with their nested fields parsed; blank lines are skipped, no schema is inferred."""
-    raw = spark.read.schema(RECORD_SCHEMA + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    raw = _records(spark, path)
     parsed = lambda c, kind: F.from_json(F.col(c), kind).alias(c)
     return raw.where("_corrupt is null").select(
         "doc_id", "language", "instruction", F.col("input").alias("masked_input"), "output", parsed("before_mentions", MENTIONS), parsed("after_mentions", MENTIONS),
-        parsed("before_sent_indices", "array<int>"), parsed("after_sent_indices", "array<int>"),
-    )
+        parsed("before_sent_indices", "array<int>"), parsed("after_sent_indices", "array<int>"), *ORDER,
+    ).withColumns({
+        # records of other writers: the header's id is the document, and pairs stand in the order of their first sentence
+        "doc_key": F.coalesce("doc_key", F.xxhash64("doc_id")), "pair_idx": F.coalesce("pair_idx", F.array_min("before_sent_indices")),
+    })
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    kinds = ", ".join(f"{c} {k}" for c, k in ORDER.items())
+    return spark.read.schema(f"{RECORD_SCHEMA}, {kinds}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+
+
+def unread_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, line: the lines that are no records, which read_examples leaves out."""
+    one = F.from_json("value", f"{RECORD_SCHEMA}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), one["_corrupt"].alias("__c")).where("__c is not null").drop("__c")
 
 
 def results_dict(scores: DataFrame, group: str = "lang") -> dict:
@@ -41,18 +60,28 @@ def results_dict(scores: DataFrame, group: str = "lang") -> dict:
 
 def write_results(scores: DataFrame, path: str, group: str = "lang") -> dict:
     out = results_dict(scores, group)
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(out, indent=2, ensure_ascii=False), encoding="utf-8")
+    p, fs = files(scores.sparkSession, path)
+    stream = fs.create(p, True)
+    stream.write(bytearray(json.dumps(out, indent=2, ensure_ascii=False).encode("utf-8")))
+    stream.close()
     return out
 
 
+def result_files(spark: SparkSession, path: str) -> dict[str, str]:
+    """Run names and paths of the result files of a folder, by name."""
+    p, fs = files(spark, path)
+    found = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return {x.getName()[:-5]: x.toString() for x in sorted(found, key=lambda x: x.getName()) if x.getName().endswith(".json")}
+
+
 def read_results(spark: SparkSession, runs: dict[str, str]) -> tuple[DataFrame, list[str]]:
     """run, lang, num_docs and the figures of result files by run name, and the runs whose file is missing."""
     prf = "struct<p:double,r:double,f:double>"
     kind = "map<string,struct<" + ",".join(f"{m}:{prf}" for m in SCORE_METRICS) + ",num_docs:bigint>>"
     out, missing = None, []
     for run, path in runs.items():
-        if not Path(path.removeprefix("file://")).exists():
+        p, fs = files(spark, path)
+        if not fs.exists(p):
             missing.append(run)
             continue
         rows = spark.read.text(path, wholetext=True).select(F.lit(run).alias("run"), F.explode(F.from_json("value", kind)).alias("lang", "s"))

@@ -11,7 +11,7 @@ from entwine.functions import prompts
 from entwine.functions.text import clamped, fill_masks, head_word, last_tokens, mask_count
 from entwine.operators import baselines, frames, mentions, merge, predict, report, sampling, score
 from entwine.operators.assignment import best_assignment, best_total
-from entwine.sources.tables import sentences
+from entwine.sources.tables import marked_sentences, sentences
 
 TOKENS = "doc_key long, sent_idx int, tok_pos int, idx int, text string, coref string"
 MENTIONS = "doc_key long, mention_ord int, sent_idx int, start_tok int, end_tok int, cluster_id long, is_zero boolean"
@@ -157,6 +157,49 @@ def test_heads(spark):
     assert [r[0] for r in df.select(head_word(F.col("w"), F.col("s"), F.col("e"))).collect()] == ["man", ",", "..", "", "a"]
 
 
+def test_rounding_as_printed(spark):
+    """Half to even on the exact binary value, as Python prints it."""
+    xs = [65.625, 65.615, 2.675, 0.125, 100.0, 0.005, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    assert [r[0] for r in df.orderBy("i").select(report.fixed(F.col("x"), 6)).collect()] == [f"{x:6.2f}" if x is not None else "     —" for x in xs]
+
+
+def test_a_model_behind_the_protocol():
+    """A tokenizer of characters and a model that repeats the number of marks so far; too long prompts lose their beginning."""
+    seen = []
+
+    def following(ids):
+        seen.append(len(ids))
+        text = "".join(map(chr, ids))
+        return ord(str(text.count("#") % 10)) if text.endswith("#") else ord(" ")
+
+    make = lambda longest: predict.TokenDecoder(lambda t: list(map(ord, t)), lambda ids: "".join(map(chr, ids)), following, longest)
+    d = make(1000)
+    assert predict.controlled(d, "p", "a#MASK b@MASK c") == [1, 2]
+    assert "".join(map(chr, d.ids)) == "pa#1 b#2 c#"
+    assert predict.controlled(make(3), "#####", "a#MASK") == [2] and max(seen) < 12
+    # a token with a blank before its digits is a number too
+    d = make(1000)
+    d.decode = lambda ids: " " + "".join(map(chr, ids))
+    assert predict.controlled(d, "p", "a#MASK") == [1]
+
+
+def test_one_long_document(spark):
+    """Pairs of thousands of frames of one document; the work grows with its length."""
+    import time
+
+    def took(n):
+        rows = spark.range(n * 4).selectExpr("1L as doc_key", "cast(id div 4 as int) as sent_idx", "cast(id % 4 as int) as tok_pos", "0 as idx", "concat('w', id % 9) as text", "if(id % 4 = 0, '(1)', '-') as coref")
+        marked = marked_sentences(rows)
+        start = time.perf_counter()
+        found = frames.pairs_of(mentions.sentences_with_mentions(marked), marked, 4).agg(F.count("output"), F.sum(F.length("masked_input"))).first()
+        assert found[0] == n - 1
+        return time.perf_counter() - start
+
+    took(500)
+    assert took(16000) < 30 * max(took(2000), 1)
+
+
 class Counting:
     """Gives the numbers 0, 1, 2 ... as tokens, each followed by a blank."""
 

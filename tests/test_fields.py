@@ -82,7 +82,6 @@ def test_values_of_odd_tables(spark):
     assert unpacked(spark, [long, long])[1] == [f"({i})" for i in range(5000)]
     df = spark.createDataFrame([(1, None, "(1|(2)", "x", 5)], "token_id long, doc_id string, coref string, source string, pos int")
     assert [tuple(r) for r in packed.found_marks(df).orderBy("pos").collect()] == [(1, 0, "(1"), (1, 1, "(2)")]
-    assert packed.irregular_pieces(df.withColumn("coref", F.lit("(1)|huh")), "coref").count() == 1
 
 
 @settings(max_examples=8, deadline=None)
@@ -93,10 +92,53 @@ def test_values_like_a_pattern(spark, rows):
     assert unpacked(spark, cells) == want
 
 
+def test_a_rule_is_a_row(spark):
+    """Another row of the table is another rule; without a row its errors are none."""
+    lines = lines_of(spark, [row(word="बड़ा"), row(word="ok"), row(coref="?")])
+    more = (*rejects.RULES[:2], rejects.Rule("word", "word_not_latin", "match", r"^[a-z]+$"), rejects.Rule("index", "index_large", "under", "2"))
+    got = {r["line_id"]: r["reasons"] for r in rejects.errors(rejects.parsed_cells(lines), rules=more).collect()}
+    assert got == {0: ["index_large", "word_not_latin"], 1: ["index_large"], 2: ["index_large"]}
+
+
+NUMBER = r"\d+(?:,\d+)?"
+
+
+def test_the_inferred_delimiter_decides(spark):
+    """The same cell is two values in a source that parts by commas, and one in a source that parts by semicolons."""
+    a = ["1,2", "3,4", "5,6", "7,8,9"]
+    b = ["1,5;2,5", "3;4,25", "6;7", "8,5;9"]
+    df = spark.createDataFrame([(i, s, c) for s, cells in (("a", a), ("b", b)) for i, c in enumerate(cells, 10 * (s == "b"))], "token_id long, doc_id string, coref string")
+    out = {}
+    for r in packed.unpack(df, "token_id", "coref", F.col("doc_id"), value=NUMBER, shape=None).orderBy("token_id", "pos").collect():
+        out.setdefault(r["token_id"], []).append(r["part_value"])
+    assert out == {0: ["1", "2"], 1: ["3", "4"], 2: ["5", "6"], 3: ["7", "8", "9"], 10: ["1,5", "2,5"], 11: ["3", "4,25"], 12: ["6", "7"], 13: ["8,5", "9"]}
+    scores = packed.delimiter_scores(df, "coref", F.col("doc_id"), NUMBER, None)
+    assert {r["source"]: r["patterns"][0] for r in packed.inferred_delimiters(scores).collect()} == {"a": ",", "b": ";"}
+    # another order of the same delimiters cuts otherwise
+    wrong = packed.with_delimiters(df.where("doc_id = 'b'"), F.col("doc_id"), {"b": [",", ";"]}).select(packed.values_of(F.col("coref"), F.col("patterns"), NUMBER).alias("v"))
+    assert ["1,5", "2,5"] not in [r["v"] for r in wrong.collect()]
+
+
+def test_irregular_cells_are_reported(spark):
+    cells = ["(1)|(2)"] * 5 + ["(1)|huh", "(3)|(4"]
+    df = spark.createDataFrame([(i, "lb/x", c) for i, c in enumerate(cells)], TOKENS)
+    assert [(r["token_id"], r["odd"]) for r in packed.irregular_cells(df, "token_id", "coref", packed.corpus_prefix()).collect()] == [(5, ["huh"])]
+    # a delimiter that a source never uses cuts nothing in it
+    df = spark.createDataFrame([(i, "lb/x" if i < 9 else "mj", "(1)|(2)" if i < 9 else "(1);(2)") for i in range(18)], TOKENS)
+    known = packed.infer(df, "coref", packed.corpus_prefix())
+    assert known == {"lb": [r"\|"], "mj": [";"]}
+
+
+def test_many_sources_are_joined(spark):
+    df = spark.createDataFrame([(i, f"s{chr(97 + i % 7)}/x" if i % 3 else "hot/x", "(1)|(2)" if i % 2 else "(1);(2)") for i in range(300)], TOKENS)
+    rows = lambda bound: sorted(tuple(r) for r in packed.unpack(df, "token_id", "coref", packed.corpus_prefix(), 2, bound=bound).collect())
+    assert rows(2) == rows(100) and len(rows(2)) == 600
+
+
 def test_inferred_delimiters(spark):
     df = spark.createDataFrame([(i, "lb/x", "(1)|(2)") for i in range(20)] + [(90, "lb/x", "(1);(2)")] + [(i, "mj", "(1);(2)") for i in range(30, 60)], TOKENS)
     scores = packed.delimiter_scores(df, "coref", packed.corpus_prefix())
-    best = {r["source"]: r["patterns"][0] for r in packed.ranked_delimiters(scores).collect()}
+    best = {r["source"]: r["patterns"][0] for r in packed.inferred_delimiters(scores).collect()}
     assert best == {"lb": r"\|", "mj": ";"}
 
 

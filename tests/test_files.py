@@ -70,11 +70,11 @@ def test_many_documents_to_a_file(spark, tmp_path):
     tokens = conll.with_doc_key(conll.scan_lines(lines_of(spark, "\n".join(texts))))
     documents = tokens.select("doc_key", "doc_id").distinct()
     out = conll.conll_lines(tokens, mentions.mentions(tokens), documents)
-    conll.write_conll(out, documents, str(tmp_path / "many"), separate=False)
+    conll.write_conll(out, documents, str(tmp_path / "many"), )
     files = [p.read_text() for p in (tmp_path / "many").glob("part-*")]
     back = conll.scan_lines(lines_of(spark, "\n".join(files)))
     assert {(r["doc_id"], r["text"], r["coref"]) for r in back.collect()} == {(f"a/{i}", f"w{i}", "(1)") for i in range(20)}
-    conll.write_conll(out, documents, str(tmp_path / "each"))
+    conll.write_conll(out, documents, str(tmp_path / "each"), separate=True)
     assert len(list((tmp_path / "each").glob("document=*a_*"))) == 20
 
 
@@ -113,13 +113,21 @@ def test_command_line(spark, root, capsys):
     got = records.read_examples(spark, f"{root}/out/train.jsonl")
     assert sorted(r["language"] for r in got.collect()) == ["bn", "hi"]
     assert got.first()["before_mentions"][0]["local_no"] == 0 and got.first()["masked_input"].startswith("<m>He</m>#MASK saw")
-    cli.main(["infer", "--config", f"{root}/c.yaml", "--split", "train"])
+    cli.main(["infer", "--config", f"{root}/c.yaml", "--split", "train", "--separate", "--details"])
     scores = json.loads((root / "out/results.json").read_text())
     assert scores["overall"]["conll"]["f"] == 100 and scores["hi"]["num_docs"] == 2
+    cli.main(["prepare", "--config", f"{root}/c.yaml", "--splits", "train"])
+    cli.main(["infer", "--config", f"{root}/c.yaml", "--split", "train", "--separate", "--examples", f"{root}/out/train.jsonl", "--output", f"{root}/saved"])
+    assert json.loads((root / "saved/results.json").read_text()) == scores
     cli.main(["baselines", "--config", f"{root}/c.yaml", "--split", "train"])
+    (root / "runs").mkdir()
+    (root / "runs/one.json").write_text((root / "out/results.json").read_text())
+    (root / "runs/two.json").write_text(json.dumps({"hi": scores["hi"]}))
+    cli.main(["analyse", f"{root}/runs"])
     cli.main(["analyse", f"a={root}/out/results.json", f"b={root}/out/results.json", "gone=/nowhere/x.json"])
     said = capsys.readouterr().out
     assert "HI " in said and "OVERALL" in said and "no results of gone" in said and "head_match" in said
+    assert "  CoNLL   P=100.00  R=100.00  F=100.00\n  Documents evaluated: 2" in said and "two             | —" in said and "=1   |      0 |      0 | +0" in said
     assert len(list((root / "out/conll").glob("document=*"))) == 3
 
 
@@ -130,6 +138,8 @@ def test_records_keep_letters_and_nulls(spark, tmp_path):
     assert "पास" in text and json.loads(text)["before_mentions"] == "[]"
     (tmp_path / "e" / "part-9.json").write_text("\n{broken\n\n")
     r = records.read_examples(spark, str(tmp_path / "e")).collect()
+    assert [x["line"] for x in records.unread_records(spark, str(tmp_path / "e")).collect()] == ["{broken"]
+    assert r[0]["pair_idx"] == 1 and r[0]["doc_key"] is not None
     assert len(r) == 1 and r[0]["before_sent_indices"] == [1] and r[0]["instruction"] is None
 
 
@@ -168,6 +178,43 @@ def test_streaming_merge(spark, tmp_path):
     assert got == want
 
 
+def test_streaming_merge_with_gaps(spark, tmp_path):
+    """Pairs without mentions aren't made; in any order of arrival, some twice, the others give what the batch gives."""
+    import random
+
+    from entwine.operators import frames
+    from entwine.operators.merge import merge_pairs
+
+    rng = random.Random(7)
+    rows = [(d, s, i, i, "w", rng.choice(["-"] * 9 + ["(1)", "(2)", "(3"]) if s % 4 else "-") for d in range(6) for s in range(30) for i in range(3)]
+    marked = tables.marked_sentences(spark.createDataFrame(rows, "doc_key long, sent_idx int, tok_pos int, idx int, text string, coref string"))
+    made = predict.attach(frames.pairs_of(mentions.sentences_with_mentions(marked), marked, 6), predict.noisy(0.3)).select("doc_key", "pair_idx", "follows", "before_mentions", "after_mentions")
+    whole = spark.createDataFrame(made.collect(), made.schema)
+    k = sorted((r["doc_key"], r["pair_idx"], r["follows"]) for r in whole.collect())
+    assert any(f != p - 1 for _, p, f in k) and all(f == (k[i - 1][1] if i and k[i - 1][0] == d else -1) for i, (d, p, f) in enumerate(k))
+    want = {tuple(r)[:4]: r["cluster_id"] for r in merge_pairs(whole).collect()}
+    parts = whole.collect()
+    rng.shuffle(parts)
+    parts += parts[:5]
+    for i in range(0, len(parts), 15):
+        spark.createDataFrame(parts[i : i + 15], made.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    q = streaming.merge_stream(stream).writeStream.format("memory").queryName("gaps").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = {(r["doc_key"], r["sent_idx"], r["start_tok"], r["end_tok"]): r["cluster_id"] for r in spark.table("gaps").orderBy("pair_idx").collect()}
+    assert got == want and want
+
+
+def test_unread_files(spark, root):
+    bad = root / "litbank_val" / "broken_tam_Taml.conll"
+    bad.write_text("x")
+    bad.chmod(0)
+    at = f"file://{root}/litbank_val"
+    got = [r[0] for r in conll.unread_files(spark, at).collect()]
+    assert got in ([], [f"file:{bad}"])  # whoever may read everything has no unread file
+    assert conll.unread_files(spark, f"{at}/nowhere").count() == 0
+
+
 def test_streaming_ingest(spark, root):
     q = streaming.ingest_files(spark, f"file://{root}/litbank_train", f"{root}/tokens", f"{root}/check")
     assert q.awaitTermination(60)
