@@ -357,7 +357,8 @@ for _name, _best in (("all_singletons", "many"), ("all_one_cluster", "one"), ("h
 
 @query(
     "scores_gold_against_gold",
-    select("SELECT coalesce(lang, 'overall') AS lang, count(*) AS num_docs, " + ", ".join(f"100.0::DOUBLE AS {c}" for c in _SCORED) + " FROM doc WHERE doc_key IN (SELECT doc_key FROM scored) GROUP BY ROLLUP (lang)", "doc", "scored"),
+    # every component is one cell, so the best cells add up
+    _conll_sql(_CONLL_SUMMARY, "gold", "many"),
 )
 def scores_gold_against_gold(spark, d):
     gold, docs = _scorable(spark, d)
@@ -395,6 +396,15 @@ def all_baselines(spark, d):
     return s.select("baseline", "lang", "num_docs", *[F.round(c, 6).alias(c) for c in _SCORED])
 
 
+_CLOSED = " UNION ALL ".join(f"SELECT '{n}' AS baseline, * FROM ({_conll_sql(_CONLL_SUMMARY, n, best)})" for n, best in (("all_singletons", "many"), ("all_one_cluster", "one")))
+
+
+@query("baselines_closed", _CLOSED)
+def baselines_closed(spark, d):
+    """The two baselines that follow from the sizes of the gold clusters, out of the pass that scores all three."""
+    return all_baselines(spark, d).where("baseline <> 'head_match'")
+
+
 _HIST = "SELECT CAST(least(size, 11) AS INTEGER) AS size, count(*) AS n FROM {} GROUP BY ALL"
 
 
