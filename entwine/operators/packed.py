@@ -1,6 +1,6 @@
 """Several values packed in one field (problem 6): one row for each value, with its position.
 
-The delimiters are inferred for each source, from all of its cells that hold two values or more.  A
+The delimiters are inferred for each source, from all of its cells that hold two values or more, or one and something else.  A
 candidate's cut is regular if what stands left of it ends in a value (or in a sign of no value) and what
 stands right of it begins with one; its regularity is the share of regular cuts, its consistency
 the share of its most frequent number of pieces, its coverage the share of the cells that hold it.
@@ -68,7 +68,7 @@ def _packed(cell: Column, value: str) -> Column:
 def delimiter_scores(df: DataFrame, cell: str, source: Column, value: str = MARK, shape: Shape = digits_folded) -> DataFrame:
     """source, delimiter, weak, cells, consistency, regularity, coverage, score: one pass, aggregated before the shuffle."""
     c = F.col("cell")
-    packed = df.select(F.coalesce(source, F.lit("")).alias("source"), F.col(cell).alias("cell")).where(_packed(c, value))
+    packed = df.select(F.coalesce(source, F.lit("")).alias("source"), F.col(cell).alias("cell")).where(_packed(c, value) | (c.rlike(value) & ~whole(c, value)))
     shapes = packed.groupBy("source", (shape(c) if shape else c).alias("cell")).agg(F.count(F.lit(1)).alias("k"))
     ends, begins = rf"(?U)(?:(?:{value}|[-*_])|^){AROUND}$", rf"(?U)^{AROUND}(?:(?:{value}|[-*_])|$)"
 

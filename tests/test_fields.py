@@ -123,6 +123,9 @@ def test_irregular_cells_are_reported(spark):
     cells = ["(1)|(2)"] * 5 + ["(1)|huh", "(3)|(4"]
     df = spark.createDataFrame([(i, "lb/x", c) for i, c in enumerate(cells)], TOKENS)
     assert [(r["token_id"], r["odd"]) for r in packed.irregular_cells(df, "token_id", "coref", packed.corpus_prefix()).collect()] == [(5, ["huh"])]
+    # a delimiter that stands after a single value only is one too
+    df = spark.createDataFrame([(1, "lb/x", "(1)|(2)"), (2, "lb/x", "(3; ")], TOKENS)
+    assert packed.irregular_cells(df, "token_id", "coref", packed.corpus_prefix()).count() == 0
     # a delimiter that a source never uses cuts nothing in it
     df = spark.createDataFrame([(i, "lb/x" if i < 9 else "mj", "(1)|(2)" if i < 9 else "(1);(2)") for i in range(18)], TOKENS)
     known = packed.infer(df, "coref", packed.corpus_prefix())
